@@ -31,11 +31,6 @@ def hot_keys(df: DataFrame, key: str, *, hot_rows: int = HOT_ROWS) -> list[tuple
     return [(x["item"], x["count"]) for x in got["top"] or [] if x["item"] is not None and x["count"] >= least]
 
 
-def salt_of(spread: Column, salts: Column) -> Column:
-    """A salt in [0, salts), decided by the hash of ``spread``."""
-    return F.pmod(F.xxhash64(spread), salts.cast("long")).cast("int")
-
-
 def salted_join(
     facts: DataFrame,
     dims: DataFrame,
@@ -50,21 +45,28 @@ def salted_join(
     ``dims`` has few rows per key; ``spread`` is an expression over ``facts``
     whose hash scatters one key's rows. Rows of a hot key get a salt and its
     dims rows are repeated once for each salt, so no task sees more than about
-    ``hot_rows`` fact rows of one key. Keys that are not hot are joined as they
-    are. A small ``dims`` is still broadcast by adaptive execution, which knows
-    its real size by then. Null fact keys match nothing.
+    ``hot_rows`` fact rows of one key. Keys that are not hot have salt 0. Null
+    fact keys match nothing and are scattered too. A small ``dims`` is still
+    broadcast by adaptive execution, which knows its real size by then.
     """
     hot = hot_keys(facts, key, hot_rows=hot_rows)
+    scattered = (F.pmod(F.xxhash64(spread), F.lit(997)) + 1).cast("int")
     if not hot:
-        return facts.join(dims, key, how)
-    spark = facts.sparkSession
+        left = facts.withColumn("__salt", F.when(F.col(key).isNull(), scattered).otherwise(0))
+        right = dims.withColumn("__salt", F.lit(0))
+        return left.join(right, [key, "__salt"], how).drop("__salt")
     kind = facts.schema[key].dataType.simpleString()
     rows = [(k, math.ceil(n / hot_rows) + 1) for k, n in hot]
-    plan = F.broadcast(spark.createDataFrame(rows, f"`{key}` {kind}, __salts int"))  # at most 500 rows
+    plan = F.broadcast(facts.sparkSession.createDataFrame(rows, f"`{key}` {kind}, __salts int"))  # at most 500 rows
     left = (
         facts.withColumn("__spread", F.xxhash64(spread))
         .join(plan, key, "left")
-        .withColumn("__salt", F.coalesce(salt_of(F.col("__spread"), F.col("__salts")), F.lit(0)))
+        .withColumn(
+            "__salt",
+            F.when(F.col(key).isNull(), (F.pmod("__spread", F.lit(997)) + 1).cast("int")).otherwise(
+                F.coalesce(F.pmod(F.col("__spread"), F.col("__salts").cast("long")).cast("int"), F.lit(0))
+            ),
+        )
         .drop("__salts", "__spread")
     )
     right = (
