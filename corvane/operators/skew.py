@@ -39,6 +39,7 @@ def salted_join(
     *,
     how: str = "left",
     hot_rows: int = HOT_ROWS,
+    hot: list[tuple[object, int]] | None = None,
 ) -> DataFrame:
     """Equi-join ``facts`` with ``dims`` on ``key``, splitting hot fact keys over several tasks.
 
@@ -47,9 +48,11 @@ def salted_join(
     dims rows are repeated once for each salt, so no task sees more than about
     ``hot_rows`` fact rows of one key. Keys that are not hot have salt 0. Null
     fact keys match nothing and are scattered too. A small ``dims`` is still
-    broadcast by adaptive execution, which knows its real size by then.
+    broadcast by adaptive execution, which knows its real size by then. ``hot``
+    gives the result of `hot_keys` where ``facts`` is costly to compute twice.
     """
-    hot = hot_keys(facts, key, hot_rows=hot_rows)
+    if hot is None:
+        hot = hot_keys(facts, key, hot_rows=hot_rows)
     scattered = (F.pmod(F.xxhash64(spread), F.lit(997)) + 1).cast("int")
     if not hot:
         left = facts.withColumn("__salt", F.when(F.col(key).isNull(), scattered).otherwise(0))
