@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corvane.storage import materialise
@@ -26,13 +27,13 @@ _BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64, "float": 64, "do
 _MANTISSA = 52
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _float_code(x: pd.Series) -> pd.Series:
     bits = (x.to_numpy(np.float64, na_value=np.nan) + 0.0).view(np.int64)
     return pd.Series(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _float_of(code: pd.Series) -> pd.Series:
     c = code.to_numpy(np.int64)
     return pd.Series(np.where(c < 0, c ^ np.int64(2**63 - 1), c).view(np.float64))
