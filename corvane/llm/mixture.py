@@ -34,6 +34,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_TOKENS = 1024
 SHARD_SLOTS = 8192
+#: The driver plans at most so many output shards; larger mixtures get larger shards.
+MAX_SHARDS = 10_000
 #: Longest run of text given to the tokenizer at once, in characters.
 _PIECE = 1 << 20
 
@@ -242,6 +244,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
 def _slots(spark, plans: Sequence[SourcePlan], shard_slots: int, seed: int) -> DataFrame:
     """One row for each slot: ``(shard, slot, source, block, repetition)``."""
     used = [p for p in plans if p.slots]
+    shard_slots = max(shard_slots, sum(p.slots for p in used) // MAX_SHARDS)
     start = np.zeros(len(used), np.int64)
     rows = []
     for shard, drawn in enumerate(draw_shards([p.slots for p in used], shard_slots, seed)):
@@ -272,7 +275,7 @@ def _slots(spark, plans: Sequence[SourcePlan], shard_slots: int, seed: int) -> D
 
     if not rows:
         return spark.createDataFrame([], out)
-    return spark.createDataFrame(rows, schema).repartition(min(len(rows), 64), "shard").mapInPandas(expand, out)
+    return spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), 4096) // 8), "shard").mapInPandas(expand, out)
 
 
 @dataclass
@@ -349,6 +352,8 @@ def mix_sources(
     slots = _slots(spark, plans, shard_slots, seed)
     numbered = packed.join(first, ["source", "part"]).withColumn("block", F.col("first") + F.col("number"))
     taken = [p.source for p in plans if p.slots]
+    # Spark takes expanded slots for as small as the rows they come from, so the join's kind is not left to its estimate.
+    slots = slots.hint("shuffle_merge")
     blocks = slots.join(numbered.filter(F.col("source").isin(taken)), ["source", "block"]).select(
         "shard", "slot", "source", "block", "repetition", "n_tokens", "tokens", "segments"
     )
