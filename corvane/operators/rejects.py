@@ -178,7 +178,7 @@ def sort_lines(
         F.col(line_no).cast("int").alias("line_no"),
         F.col(text).alias("raw_text"),
     )
-    wanted = picked.filter("(line_no is null or line_no <> 1) and raw_text is not null and raw_text not rlike '^ *$'")
+    wanted = picked.filter("(line_no is null or line_no <> 1) and trim(raw_text) <> ''")
     return wanted.mapInArrow(judge, out)
 
 
