@@ -114,6 +114,8 @@ class _Counter:
             self._hold(names[key // k], names[key % k], square[key])
 
     def _hold(self, a: np.ndarray, b: np.ndarray, count: np.ndarray) -> None:
+        if not len(a):
+            return
         self.lists.append((np.minimum(a, b), np.maximum(a, b), count.astype(np.int64)))
         self.held += len(a)
         if self.held > 2 * _PAIRS:
@@ -188,7 +190,8 @@ def cooccurrence(
     kind = df.schema[item].dataType.simpleString()
     if kind not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{item} must be of an integer type")
-    both = df.select(F.col(basket).alias("basket"), F.col(item).cast("long").alias("item")).dropna()
+    both = df.select(F.col(basket).alias("basket"), F.col(item).cast("long").alias("item"))
+    both = both.filter("basket is not null and item is not null")
     # Distinct on both columns first: one basket's rows are spread over the tasks.
     baskets = materialise(both.distinct().groupBy("basket").agg(F.collect_list("item").alias("items")), "baskets")
     n = baskets.count()

@@ -179,7 +179,8 @@ def top_n(
             raise TypeError(f"{c} must be a number, boolean, date or timestamp")
     names = [*(f"g{i}" for i in range(len(group))), *(f"w{i}" for i in range(len(order))), *(f"k{i}" for i in range(len(keep)))]
     rows = df.select(*(F.col(c).alias(a) for c, a in zip([*group, *order, *keep], names, strict=True)))
-    rows = rows.dropna(subset=[*names[: len(group)], "w0"])
+    for c in (*names[: len(group)], "w0"):
+        rows = rows.filter(F.col(c).isNotNull())
     n_group, n_words = len(group), len(order)
 
     def cutter(last: bool):
