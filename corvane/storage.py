@@ -18,6 +18,24 @@ from pyspark.sql import DataFrame, SparkSession
 from corvane.errors import CorvaneError
 
 _own_dirs: dict[str, str] = {}
+_to_clear: set[str] = set()
+
+
+def _clear_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes the application's written tables when the driver's Python ends."""
+    if path in _to_clear:
+        return
+    _to_clear.add(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+
+    def clear() -> None:
+        try:
+            hadoop.getFileSystem(conf).delete(hadoop, True)
+        except Exception:  # the JVM may be gone; the folder's owner clears it then
+            pass
+
+    atexit.register(clear)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,10 +59,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and read it back.
 
     Unlike ``checkpoint()`` the copy is columnar and compressed, so it costs a
-    fraction of the disk, and later readers prune its columns. Tables live as
-    long as the folder does; the application owner clears it between runs.
+    fraction of the disk, and later readers prune its columns. The tables of an
+    application are deleted when its driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}"
+    _clear_at_exit(spark, home)
+    path = f"{home}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

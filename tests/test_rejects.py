@@ -69,7 +69,7 @@ CASES = [
     '1,"Ann,CA,20', '1,"Ann" x,CA,20', '1,A"nn,CA,20', 'x,Ann,CA,20', '1,,CA,20', '1,"",CA,20', '1," ",CA,20', '1,Ann,CALIFORNIA,20',
     '2147483648,Ann,CA,20', '-2147483648,Ann,CA,20', '0000000000000000012,Ann,CA,20', '1,Ann,CA,+5', '1,Ann,CA,٣', '1,A\tn,CA,20', '1,A�n,CA,20',
     '1,Ann,CA,""', '1,Ann,CA," 20"', '\t1,Ann,CA,20', '1,"a\nb",CA,20', '1,Ann\r,CA,20', '1,' + "é" * 16 + ',CA,20', '1,' + "é" * 17 + ',CA,20', ',,,', '"', '""',
-    "1,Ann,CA,-", "1,Ann,CA,-0", "1," + "x" * 100_000 + ",CA,1", ",", "1,'Ann',CA,20",
+    "1,Ann,CA,-", "1,Ann,CA,-0", "1," + "x" * 100_000 + ",CA,1", ",", "1,'Ann',CA,20", "1,A\0n,CA,20", "1\0,Ann,CA,20", '1,"\0",CA,20', "1,Ann,CA,1" + "0" * 4000, "1;2;3;4", '1, "a"" b" ,CA,0',
 ]
 
 
