@@ -171,38 +171,73 @@ class SourcePlan:
         return float(self.n_tokens) * self.max_repeats
 
 
+def _fill(able: Sequence[SourcePlan], level: float) -> list[int]:
+    """Slots that give each source ``level`` times its share in tokens, or all it can give."""
+    slots = []
+    for s in able:
+        per_block = s.n_tokens / s.n_blocks
+        slots.append(min(s.n_blocks * s.max_repeats, max(1, round(min(s.capacity, s.target_share * level) / per_block))))
+    return slots
+
+
+def _best_level(able: Sequence[SourcePlan]) -> float:
+    """The level (see `_fill`) of the mixture with the shares nearest to the targets.
+
+    At each source's capacity / share, the sources that end before are limited
+    and the others in proportion. Sizes beyond the first lose share where
+    sources are limited, but have more blocks, so that whole blocks distort
+    less: half a block of each source counts as error besides the distance of
+    the planned shares. Of equal errors the larger mixture wins.
+    """
+    whole = sum(s.target_share for s in able)
+    doubt = sum(s.n_tokens / s.n_blocks for s in able) / 2
+    best, best_error = 0.0, float("inf")
+    for level in sorted({s.capacity / s.target_share for s in able}):
+        exact = [min(s.capacity, s.target_share * level) for s in able]
+        total = sum(exact)
+        if sum(max(0.0, s.target_share / whole - x / total) for s, x in zip(able, exact, strict=True)) > best_error:
+            break  # what limited sources lack only grows with the level
+        tokens = [n * s.n_tokens / s.n_blocks for s, n in zip(able, _fill(able, level), strict=True)]
+        total = sum(tokens)
+        error = sum(abs(s.target_share / whole - x / total) for s, x in zip(able, tokens, strict=True)) / 2 + doubt / total
+        if error <= best_error:
+            best, best_error = level, error
+    return best
+
+
 def plan_slots(sources: Sequence[SourcePlan], total_tokens: float | None = None) -> None:
     """Sets ``slots`` so that the shares come as near to the targets as text and repetitions allow.
 
     Without ``total_tokens`` the mixture is as large as it can be with every
     source that has text at its share; the shares of sources without text go to
-    the others in proportion. With a total, sources that cannot fill their part
-    of it are used as often as allowed, and the rest is again shared out in
-    proportion, as far as there is text.
+    the others in proportion. Where so few blocks would be left that rounding
+    to whole blocks distorts the shares more than the lack of the smallest
+    sources does, these are limited instead: they are used as often as allowed,
+    and the others share the rest in proportion. With a total, sources that
+    cannot fill their part of it are treated in the same way, as far as there
+    is text.
     """
     able = [s for s in sources if s.capacity > 0 and s.target_share > 0]
     for s in sources:
         s.slots = 0
     if not able:
         return
-    whole = sum(s.target_share for s in able)
     if total_tokens is None:
-        total_tokens = min(s.capacity * whole / s.target_share for s in able)
-    left, open_ = float(total_tokens), list(able)
-    wanted: dict[str, float] = {}
-    while open_:
-        share = sum(s.target_share for s in open_)
-        full = [s for s in open_ if s.target_share / share * left > s.capacity * (1 + 1e-12)]
-        if not full:
-            wanted |= {s.source: s.target_share / share * left for s in open_}
-            break
-        for s in full:
-            wanted[s.source] = s.capacity
-            left -= s.capacity
-            open_.remove(s)
-    for s in able:
-        per_block = s.n_tokens / s.n_blocks
-        s.slots = min(s.n_blocks * s.max_repeats, max(1, round(wanted[s.source] / per_block)))
+        level = _best_level(able)
+    else:
+        level, left, open_ = 0.0, float(total_tokens), list(able)
+        while open_:
+            level = left / sum(s.target_share for s in open_)
+            full = [s for s in open_ if s.target_share * level > s.capacity * (1 + 1e-12)]
+            if not full:
+                break
+            for s in full:
+                left -= s.capacity
+                open_.remove(s)
+        else:
+            level = float("inf")
+    for s, n in zip(able, _fill(able, level), strict=True):
+        s.slots = n
 
 
 def draw_shards(slots: Sequence[int], shard_slots: int, seed: int) -> Iterator[np.ndarray]:

@@ -38,6 +38,33 @@ def test_plans():
     assert plan((0.0, 1, 5), (1.0, 0, 5)) == [0, 0] and plan() == []
 
 
+def test_tiny_sources_are_limited_instead_of_setting_the_size():
+    def shares(*rows, total=None):
+        plans = [SourcePlan(str(i), share, repeats, blocks, tokens) for i, (share, repeats, blocks, tokens) in enumerate(rows)]
+        plan_slots(plans, total)
+        used = [p.slots * p.n_tokens / p.n_blocks for p in plans]
+        return [p.slots for p in plans], [u / sum(used) for u in used]
+
+    big = 1024 * 10_000
+    slots, got = shares((0.6, 1, 10_000, big), (0.3, 1, 10_000, big), (0.1, 1, 1, 1))
+    assert slots == [10_000, 5_000, 1] and got == pytest.approx([2 / 3, 1 / 3, 0], abs=1e-4)
+    slots, _ = shares((0.6, 1, 10_000, big), (0.3, 1, 10_000, big), (0.1, 5, 1, 1), (0.0, 1, 5, 50))
+    assert slots == [10_000, 5_000, 5, 0]
+    # A source with enough blocks still sets the size, so that all shares are met; a second tiny one does not.
+    slots, got = shares((0.6, 1, 10_000, big), (0.3, 1, 10_000, big), (0.1, 1, 100, 102_400), (0.001, 1, 1, 3))
+    assert slots[:3] == [600, 300, 100] and got[:3] == pytest.approx([0.6, 0.3, 0.1], abs=0.002)
+
+
+def test_one_word_source(spark):
+    rows = [(i, "the old reader keeps every idle buffer " * 50, ["a", "b"][i % 2]) for i in range(400)] + [(1000, "word", "c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    t = spark.createDataFrame([("a", 0.6, 1), ("b", 0.3, 1), ("c", 0.1, 1)], "source string, target_share double, max_repeats int")
+    report = {r["source"]: r for r in mix_sources(d, t).report.collect()}
+    assert report["a"]["actual_share"] == pytest.approx(2 / 3, abs=0.03) and report["b"]["actual_share"] == pytest.approx(1 / 3, abs=0.03)
+    assert report["c"]["used_tokens"] == report["c"]["max_tokens"] > 0 and report["c"]["limited"]
+    assert report["a"]["used_tokens"] > 0.95 * report["a"]["max_tokens"]
+
+
 def docs():
     rows = [(i, f"commit {i}: change the file number {i * 7} again and again\n" * (i % 9 + 1), ["big", "big", "small"][i % 3]) for i in range(240)]
     rows += [(1000, "x " * 60_000, "one"), (1001, None, "big"), (1002, "", "big"), (1003, "text", None), (1004, "stray <|endoftext|>", "untargeted")]
