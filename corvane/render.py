@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from corvane.session import StatementResult
 
-#: Rows shown at most; the count below them is always of all rows.
+#: Rows shown at most; the count below them is always of all rows, and what is left out is said.
 SHOWN = 1000
 
 
@@ -33,4 +33,5 @@ def render(result: DataFrame | StatementResult | list, shown: int = SHOWN) -> st
             return "No tables."
         return "\n".join(f"{t}.{c} {k} {'[indexed]' if i == 'true' else '[no-index]'}" for t, c, k, i in rows)
     n = len(rows) if len(rows) < shown else result.count()
-    return f"{_box(result.columns, rows)}\nReturned {n} records."
+    left = f"\n{n - len(rows)} more records are not shown." if n > len(rows) else ""
+    return f"{_box(result.columns, rows)}{left}\nReturned {n} records."

@@ -185,6 +185,11 @@ def test_console_output(shop):
     assert "No tables." == render(shop.sql("show;").limit(0))
 
 
+def test_rows_that_are_not_shown_are_counted(spark):
+    assert render(spark.range(5), shown=3).endswith("\n2 more records are not shown.\nReturned 5 records.")
+    assert "not shown" not in render(spark.range(5), shown=5) and "not shown" not in render(spark.range(5))
+
+
 def test_plans_push_filters_and_columns(shop, spark):
     spark.range(1000).selectExpr("id as k", "id % 7 as m", "id as wide").write.mode("overwrite").parquet(shop.catalog.warehouse + "/outside")
     shop.register("outside", spark.read.parquet(shop.catalog.warehouse + "/outside"))
