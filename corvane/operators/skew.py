@@ -9,26 +9,27 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds at least this many rows ...
 HOT_ROWS = 1_000_000
-#: ... and at least this share of all rows. The share bounds the hot list.
-HOT_SHARE = 1 / 500
-#: Items the frequency sketch tracks; its error is far below HOT_SHARE.
+#: ... and is among so many of the most frequent ones, which bounds the list. Its error in the frequency sketch is a few
+#: ten-thousandths of all rows, which the sizes of a cluster's tasks do not fall below.
 TRACKED = 10_000
 
 
 def hot_keys(df: DataFrame, key: str, *, hot_rows: int = HOT_ROWS) -> list[tuple[object, int]]:
-    """Keys holding at least ``hot_rows`` rows and 1/500 of all rows, with their row counts.
+    """Keys holding at least ``hot_rows`` rows, with their row counts.
 
     One column is read and summarised by a mergeable frequent-items sketch, so
-    nothing is shuffled by key, and at most 500 keys can qualify. Nulls are not
-    keys. An empty input has no hot keys.
+    nothing is shuffled by key. Every key the sketch tracks can qualify, at most
+    TRACKED. Nulls are not keys. An empty input has no hot keys.
     """
-    got = (
-        df.filter(F.col(key).isNotNull())
-        .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(`{key}`, 1000, {TRACKED})").alias("top"))
-        .first()
-    )
-    least = max(hot_rows, got["n"] * HOT_SHARE)
-    return [(x["item"], x["count"]) for x in got["top"] or [] if x["item"] is not None and x["count"] >= least]
+    top = F.expr(f"approx_top_k(`{key}`, {TRACKED}, {TRACKED})").alias("top")
+    got = df.filter(F.col(key).isNotNull()).agg(top).first()
+    return [(x["item"], x["count"]) for x in got["top"] or [] if x["item"] is not None and x["count"] >= hot_rows]
+
+
+def hottest(counts: DataFrame, key: str, *, hot_rows: int = HOT_ROWS) -> list[tuple[object, int]]:
+    """`hot_keys` from exact counts ``(key, n)``: the TRACKED most frequent keys with at least ``hot_rows`` rows."""
+    most = counts.filter((F.col("n") >= hot_rows) & F.col(key).isNotNull()).orderBy(F.desc("n")).limit(TRACKED)
+    return [(r[key], r["n"]) for r in most.select(key, "n").collect()]
 
 
 def salted_join(
@@ -60,7 +61,7 @@ def salted_join(
         return left.join(right, [key, "__salt"], how).drop("__salt")
     kind = facts.schema[key].dataType.simpleString()
     rows = [(k, math.ceil(n / hot_rows) + 1) for k, n in hot]
-    plan = F.broadcast(facts.sparkSession.createDataFrame(rows, f"`{key}` {kind}, __salts int"))  # at most 500 rows
+    plan = F.broadcast(facts.sparkSession.createDataFrame(rows, f"`{key}` {kind}, __salts int"))  # at most TRACKED rows
     left = (
         facts.withColumn("__spread", F.xxhash64(spread))
         .join(plan, key, "left")
