@@ -1,13 +1,19 @@
 """Mixing sources to target weights, in blocks of tokens.
 
-Documents are cut into tokens of a public tokenizer and packed, source by
-source, into blocks of one length. The mixture is a sequence of slots in output
-shards: the number of slots a source gets in a shard is drawn from a
-multinomial distribution conditioned on the planned totals (which makes the
-shares exact instead of merely expected), a source's slots run through
+Documents are cut into tokens of a public tokenizer. A source's documents stand
+in one pseudorandom order that depends on nothing but the documents, and their
+tokens are cut at every multiple of the block length: each block is full but a
+source's last, however the work was divided. Positions come from prefix sums
+over ranges of the order.
+
+The mixture is a sequence of slots in output shards. Where a shard is made, the
+number of slots each source gets there is drawn from a multinomial
+distribution, conditioned on the planned totals by splitting them over ever
+smaller ranges of shards; so the shares are exact instead of merely expected,
+and no shard needs to know of another. A source's slots run through
 pseudorandom permutations of its block numbers, one for each repetition, and
-blocks are joined to slots by number. Nothing but one row for each target source
-and each packing task's block count is gathered.
+blocks are joined to slots by number. The driver gathers one row for each target
+source.
 """
 
 from __future__ import annotations
@@ -15,144 +21,132 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
+from math import ceil, log2
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corvane.storage import materialise
 
-#: Where the vocabulary file is, unless given.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern that splits text before this vocabulary's merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_TOKENS = 1024
 SHARD_SLOTS = 8192
-#: The driver plans at most so many output shards; larger mixtures get larger shards.
-MAX_SHARDS = 10_000
+#: Tokens in a range of a source's order whose documents are placed by one task, about.
+RANGE_TOKENS = 1 << 20
+_FINE = 12  # bits of a range's number that are summed up first
+_TASK_SHARDS = 32
 #: Longest run of text given to the tokenizer at once, in characters.
 _PIECE = 1 << 20
 
 
 class Tokenizer:
-    """Byte-pair tokens of a rank file's bytes."""
+    """Byte-pair tokens of a rank file's bytes, as little-endian unsigned integers of 2 bytes where they suffice, else 4."""
 
     def __init__(self, ranks: bytes):
         import tiktoken
 
         lines = (line.split() for line in ranks.splitlines() if line)
-        self.encoding = tiktoken.Encoding(
-            "ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in lines}, special_tokens={}
-        )
+        table = {base64.b64decode(a): int(b) for a, b in lines}
+        self.dtype = np.dtype("<u2" if max(table.values(), default=0) < 1 << 16 else "<u4")
+        self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        """Tokens as uint32; the strings of special tokens are ordinary text. Very long texts are encoded in pieces."""
+        """The text's tokens; the strings of special tokens are ordinary text. Very long texts are encoded in pieces."""
         text = text.encode("utf-8", "replace").decode()
         parts = [
-            self.encoding.encode_to_numpy(text[i : i + _PIECE], disallowed_special=())
+            self.encoding.encode_to_numpy(text[i : i + _PIECE], disallowed_special=()).astype(self.dtype)
             for i in range(0, len(text), _PIECE)
         ]
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-
+        return np.concatenate(parts) if parts else np.zeros(0, self.dtype)
 
-def _blocks_type(id_type: T.DataType) -> T.StructType:
-    segment = T.StructType(
-        [T.StructField("doc_id", id_type), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())]
-    )
-    return T.StructType(
-        [
-            T.StructField("source", T.StringType()),
-            T.StructField("part", T.IntegerType()),
-            T.StructField("number", T.LongType()),
-            T.StructField("n_tokens", T.IntegerType()),
-            T.StructField("tokens", T.BinaryType()),
-            T.StructField("segments", T.ArrayType(segment)),
-        ]
-    )
 
+def tokenised(docs: DataFrame, *, doc_id: str, text: str, source: str, ranks: bytes) -> DataFrame:
+    """``(doc_id, source, h, n, tokens)``: each document's tokens, their number, and its place in the source's order.
 
-class _Packer:
-    """The blocks of one source in one task."""
-
-    def __init__(self, size: int):
-        self.size, self.number, self.held = size, 0, 0
-        self.parts: list[np.ndarray] = []
-        self.segments: list[tuple] = []
+    Null sources and null or empty texts give nothing.
+    """
+    rows = docs.filter(F.col(source).isNotNull() & (F.col(text) != "")).select(
+        F.col(doc_id).alias("doc_id"),
+        F.col(source).alias("source"),
+        F.xxhash64(F.col(doc_id), F.col(text)).alias("h"),
+        F.col(text).alias("text"),
+    )
+    out = T.StructType([*rows.schema.fields[:3], T.StructField("n", T.IntegerType()), T.StructField("tokens", T.BinaryType())])
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file, under 1 MB
 
-    def add(self, doc_id, tokens: np.ndarray) -> Iterator[tuple]:
-        at = 0
-        while at < len(tokens):
-            n = min(self.size - self.held, len(tokens) - at)
-            self.parts.append(tokens[at : at + n])
-            self.segments.append((doc_id, at, n))
-            at, self.held = at + n, self.held + n
-            if self.held == self.size:
-                yield self.close()
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = Tokenizer(sent.value)
+        for batch in batches:
+            found = [tokenizer.encode(t) for t in batch.column(3).to_pylist()]
+            sizes = pa.array([len(x) for x in found], pa.int32())
+            tokens = pa.array([x.tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sizes, tokens], names=out.names)
 
-    def close(self) -> tuple:
-        block = (self.number, self.held, np.concatenate(self.parts).astype("<u4").tobytes(), self.segments)
-        self.number, self.held, self.parts, self.segments = self.number + 1, 0, [], []
-        return block
+    return rows.mapInArrow(encode, out)
 
 
-def pack_blocks(
-    docs: DataFrame, *, doc_id: str, text: str, source: str, ranks: bytes, block_tokens: int = BLOCK_TOKENS
-) -> DataFrame:
-    """Blocks of ``block_tokens`` tokens: ``(source, part, number, n_tokens, tokens, segments)``.
+def _placed(tokens: DataFrame, total: int) -> DataFrame:
+    """``tokens`` with ``offset``, the number of tokens before a document in its source's order.
 
-    Every task packs its documents of a source one after the other, each whole
-    and once; its last block of a source may be shorter. ``tokens`` is
-    little-endian uint32, ``segments`` tells which tokens of which documents
-    they are. Null sources and null or empty texts give nothing.
+    The order is by hash, in ranges small enough for one task; sums over ranges
+    are taken in two steps, so that no task sees more than a few thousand.
     """
-    rows = docs.filter(F.col(source).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")
+    bits = min(2 * _FINE, max(0, ceil(log2(max(1, total) / RANGE_TOKENS))))
+    number = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
+    ranged = tokens.withColumn("range", number)
+    sums = ranged.groupBy("source", "range").agg(F.sum("n").alias("tokens"))
+    sums = materialise(sums.withColumn("coarse", F.shiftright("range", _FINE)), "ranges")
+    before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    coarse = sums.groupBy("source", "coarse").agg(F.sum("tokens").alias("tokens"))
+    coarse = coarse.select("source", "coarse", before(Window.partitionBy("source").orderBy("coarse")).alias("first"))
+    fine = sums.withColumn("within", before(Window.partitionBy("source", "coarse").orderBy("range")))
+    starts = fine.join(coarse, ["source", "coarse"]).select("source", "range", (F.col("first") + F.col("within")).alias("first"))
+    order = Window.partitionBy("source", "range").orderBy("h", "doc_id", "n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(starts, ["source", "range"]).withColumn("offset", F.col("first") + F.coalesce(F.sum("n").over(order), F.lit(0)))
+    return placed.select("doc_id", "source", "n", "tokens", "offset")
+
+
+def cut_blocks(tokens: DataFrame, total: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks of ``block_tokens`` tokens: ``(source, block, n_tokens, tokens, segments)``.
+
+    Every document of `tokenised` is in them whole and once; a source's last
+    block may be shorter. ``segments`` tells which tokens of which documents a
+    block holds. The result does not depend on how the rows are divided.
+    """
+    size, offset = F.lit(block_tokens), F.col("offset")
+    last = F.expr(f"(offset + n - 1) div {block_tokens}")
+    pieces = _placed(tokens, total).select(
+        "doc_id", "source", "n", "tokens", "offset", F.explode(F.sequence(F.expr(f"offset div {block_tokens}"), last)).alias("block")
+    )
+    lo = F.greatest(offset, F.col("block") * size)
+    hi = F.least(offset + F.col("n"), (F.col("block") + 1) * size)
+    width = (F.octet_length("tokens") / F.col("n")).cast("int")
+    begin = ((lo - offset) * width + 1).cast("int")
+    piece = F.struct(
+        lo.alias("at"),
+        F.col("doc_id"),
+        (lo - offset).cast("int").alias("start"),
+        (hi - lo).cast("int").alias("n"),
+        F.substring("tokens", begin, ((hi - lo) * width).cast("int")).alias("tokens"),
+    )
+    held = pieces.groupBy("source", "block").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+    joined = F.aggregate("pieces", F.lit(b""), lambda done, p: F.concat(done, p["tokens"]))
+    return held.select(
+        "source",
+        "block",
+        F.aggregate("pieces", F.lit(0), lambda done, p: done + p["n"]).alias("n_tokens"),
+        joined.alias("tokens"),
+        F.transform("pieces", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["start"].alias("start"), p["n"].alias("n"))).alias(
+            "segments"
+        ),
     )
-    out = _blocks_type(rows.schema["doc_id"].dataType)
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file, under 1 MB
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(sent.value)
-        part = TaskContext.get().partitionId()
-        packers: dict[str, _Packer] = {}
-        done: list[tuple] = []
-        schema = None
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*done, strict=True))
-            arrays = [
-                pa.array(cols[0], pa.string()),
-                pa.array([part] * len(done), pa.int32()),
-                pa.array(cols[1], pa.int64()),
-                pa.array(cols[2], pa.int32()),
-                pa.array(cols[3], pa.binary()),
-                pa.array([[{"doc_id": d, "start": s, "n": n} for d, s, n in x] for x in cols[4]], schema),
-            ]
-            done.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=out.names)
-
-        for batch in batches:
-            id_type = batch.column(0).type
-            schema = pa.list_(pa.struct([("doc_id", id_type), ("start", pa.int32()), ("n", pa.int32())]))
-            for i, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                packer = packers.setdefault(s, _Packer(block_tokens))
-                for block in packer.add(i, tokenizer.encode(t)):
-                    done.append((s, *block))
-                    if len(done) >= 1024:
-                        yield flush()
-        for s, packer in packers.items():
-            if packer.held:
-                done.append((s, *packer.close()))
-        if done:
-            yield flush()
-
-    return rows.mapInArrow(pack, out)
 
 
 @dataclass
@@ -165,6 +159,7 @@ class SourcePlan:
     n_blocks: int
     n_tokens: int
     slots: int = 0
+    planned: float = 0.0
 
     @property
     def capacity(self) -> float:
@@ -206,7 +201,7 @@ def _best_level(able: Sequence[SourcePlan]) -> float:
 
 
 def plan_slots(sources: Sequence[SourcePlan], total_tokens: float | None = None) -> None:
-    """Sets ``slots`` so that the shares come as near to the targets as text and repetitions allow.
+    """Sets ``slots``, and ``planned`` tokens before rounding to blocks, so that the shares come as near to the targets as text and repetitions allow.
 
     Without ``total_tokens`` the mixture is as large as it can be with every
     source that has text at its share; the shares of sources without text go to
@@ -219,7 +214,7 @@ def plan_slots(sources: Sequence[SourcePlan], total_tokens: float | None = None)
     """
     able = [s for s in sources if s.capacity > 0 and s.target_share > 0]
     for s in sources:
-        s.slots = 0
+        s.slots, s.planned = 0, 0.0
     if not able:
         return
     if total_tokens is None:
@@ -237,19 +232,66 @@ def plan_slots(sources: Sequence[SourcePlan], total_tokens: float | None = None)
         else:
             level = float("inf")
     for s, n in zip(able, _fill(able, level), strict=True):
-        s.slots = n
+        s.slots, s.planned = n, min(s.capacity, s.target_share * level)
+
+
+# Numpy's limit of an exact hypergeometric draw.
+_EXACT = 10**9
+
+
+def _share(rng: np.random.Generator, mine: int, others: int, n: int) -> int:
+    """How many of ``n`` places, drawn without repetition from those of all, are mine."""
+    whole = mine + others
+    if whole < _EXACT:
+        return int(rng.hypergeometric(mine, others, n)) if whole else 0
+    part = n / whole
+    if mine < whole / 1000:  # so rare that the places hardly exclude each other
+        drawn = int(rng.binomial(mine, part))
+    else:
+        deviation = (n * (mine / whole) * (others / whole) * (1 - part)) ** 0.5
+        drawn = round(n * (mine / whole) + deviation * rng.standard_normal())
+    return min(mine, n, max(0, n - others, drawn))
 
 
-def draw_shards(slots: Sequence[int], shard_slots: int, seed: int) -> Iterator[np.ndarray]:
-    """Slots of each source in each output shard: multinomial draws given the totals."""
-    rng = np.random.default_rng(seed)
-    left = np.array(slots, np.int64)
-    while left.sum() > 0:
-        n = min(shard_slots, int(left.sum()))
-        # method "marginals" needs no memory for the single slots
-        drawn = rng.multivariate_hypergeometric(left, n, method="marginals")
-        left = left - drawn
-        yield drawn
+class Shards:
+    """Slots of each source in each output shard: multinomial draws given the totals.
+
+    The totals of a range of shards are split between its halves by a
+    multivariate hypergeometric draw, seeded by the range; that is the
+    distribution of multinomial draws of all shards whose totals are known
+    (above 10^9 slots its normal or binomial limit). One shard needs one split
+    for each halving on the way to it.
+    """
+
+    def __init__(self, slots: Sequence[int], shard_slots: int, seed: int):
+        self.slots, self.shard_slots, self.seed = tuple(map(int, slots)), shard_slots, seed
+        self.total = sum(self.slots)
+        self.n = -(-self.total // shard_slots)
+        self._split = lru_cache(1 << 12)(self._draw)
+
+    def size(self, lo: int, hi: int) -> int:
+        return min(hi * self.shard_slots, self.total) - lo * self.shard_slots
+
+    def _draw(self, lo: int, hi: int, have: tuple[int, ...]) -> tuple[int, ...]:
+        rng = np.random.default_rng([self.seed, lo, hi])
+        open_, others, left = self.size(lo, (lo + hi) // 2), sum(have), []
+        for mine in have:
+            others -= mine
+            left.append(_share(rng, mine, others, open_))
+            open_ -= left[-1]
+        return tuple(left)
+
+    def __getitem__(self, shard: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """Each source's slots in all shards before this one, and in this one."""
+        lo, hi, have, before = 0, self.n, self.slots, (0,) * len(self.slots)
+        while hi - lo > 1:
+            left, middle = self._split(lo, hi, have), (lo + hi) // 2
+            if shard < middle:
+                have, hi = left, middle
+            else:
+                before = tuple(b + x for b, x in zip(before, left, strict=True))
+                have, lo = tuple(h - x for h, x in zip(have, left, strict=True)), middle
+        return before, have
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -276,41 +318,43 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out
 
 
-def _slots(spark, plans: Sequence[SourcePlan], shard_slots: int, seed: int) -> DataFrame:
-    """One row for each slot: ``(shard, slot, source, block, repetition)``."""
+def slot_table(spark: SparkSession, plans: Sequence[SourcePlan], shard_slots: int, seed: int) -> DataFrame:
+    """One row for each slot: ``(shard, slot, source, block, repetition)``, made where its shard is drawn."""
     used = [p for p in plans if p.slots]
-    shard_slots = max(shard_slots, sum(p.slots for p in used) // MAX_SHARDS)
-    start = np.zeros(len(used), np.int64)
-    rows = []
-    for shard, drawn in enumerate(draw_shards([p.slots for p in used], shard_slots, seed)):
-        offset = 0
-        for i, n in enumerate(drawn.tolist()):
-            if n:
-                rows.append((shard, int(drawn.sum()), offset, i, used[i].source, used[i].n_blocks, int(start[i]), n))
-            offset += n
-        start += drawn
-    schema = "shard int, size long, offset long, code int, source string, n_blocks long, start long, n long"
-    out = "shard int, slot long, source string, block long, repetition int"
-    salt = np.uint64(seed)
-
-    def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                j = r.start + np.arange(r.n)
-                repetition = j // r.n_blocks
-                n = np.full(r.n, r.n_blocks)
-                with np.errstate(over="ignore"):
-                    key = (salt * np.uint64(1_000_003) + np.uint64(r.code)) * np.uint64(1_000_003) + repetition.astype(np.uint64)
-                    place = permuted(r.offset + np.arange(r.n), np.full(r.n, r.size), np.full(r.n, salt + np.uint64(r.shard + 7)))
-                block = permuted(j % r.n_blocks, n, key)
-                yield pd.DataFrame(
-                    {"shard": r.shard, "slot": place.astype(np.int64), "source": r.source,
-                     "block": block.astype(np.int64), "repetition": repetition.astype(np.int32)}
-                )
-
-    if not rows:
-        return spark.createDataFrame([], out)
-    return spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), 4096) // 8), "shard").mapInPandas(expand, out)
+    shards = Shards([p.slots for p in used], shard_slots, seed)
+    names, blocks = pa.array([p.source for p in used], pa.string()), [p.n_blocks for p in used]
+    out = "shard long, slot long, source string, block long, repetition int"
+    salt, totals, size = np.uint64(seed), shards.slots, shards.shard_slots
+
+    def make(shards: Shards, shard: int) -> pa.RecordBatch:
+        before, here = shards[shard]
+        code = np.repeat(np.arange(len(here)), here)
+        j = np.concatenate([b + np.arange(n) for b, n in zip(before, here, strict=True)])
+        n_blocks = np.array(blocks, np.int64)[code]
+        repetition = j // n_blocks
+        with np.errstate(over="ignore"):
+            key = (salt * np.uint64(1_000_003) + code.astype(np.uint64)) * np.uint64(1_000_003) + repetition.astype(np.uint64)
+            place = permuted(np.arange(len(j)), np.full(len(j), len(j)), np.full(len(j), salt + np.uint64(shard + 7)))
+        block = permuted(j % n_blocks, n_blocks, key)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(j), shard)),
+                pa.array(place.astype(np.int64)),
+                names.take(pa.array(code)),
+                pa.array(block.astype(np.int64)),
+                pa.array(repetition.astype(np.int32)),
+            ],
+            names=["shard", "slot", "source", "block", "repetition"],
+        )
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = Shards(totals, size, seed)
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                yield make(mine, shard)
+
+    tasks = max(1, ceil(shards.n / _TASK_SHARDS))
+    return spark.range(0, shards.n, 1, tasks).mapInArrow(expand, out)
 
 
 @dataclass
@@ -330,7 +374,7 @@ def mix_sources(
     source: str = "source",
     share: str = "target_share",
     max_repeats: str = "max_repeats",
-    tokenizer: str = TOKENIZER,
+    tokenizer: str,
     total_tokens: float | None = None,
     block_tokens: int = BLOCK_TOKENS,
     shard_slots: int = SHARD_SLOTS,
@@ -338,12 +382,15 @@ def mix_sources(
 ) -> Mixture:
     """A mixture of the sources by target shares of its tokens (see `plan_slots` for what is reached).
 
+    ``tokenizer`` names the vocabulary file of a public byte-pair tokenizer.
     ``blocks`` has ``(shard, slot, source, block, repetition, n_tokens, tokens,
-    segments)``: within a shard, slots 0.. are a random order of its sources.
+    segments)``: within a shard, slots 0.. are a random order of its sources;
+    ``tokens`` are little-endian unsigned integers of 2 bytes (4 for a vocabulary
+    of more than 65,536). All blocks have ``block_tokens`` but each source's last.
     No block, hence no part of a document, occurs more often than its source's
     ``max_repeats``. ``report`` has one row for each source in either table:
-    ``(source, target_share, max_repeats, source_tokens, max_tokens, used_tokens,
-    actual_share, limited)``.
+    ``(source, target_share, max_repeats, source_tokens, max_tokens,
+    planned_tokens, used_tokens, actual_share, limited)``.
 
     Targets with a null source, a null or negative share or null or negative
     repetitions count as a share or repetitions of zero; of repeated sources the
@@ -369,32 +416,28 @@ def mix_sources(
         )
         .select("source", "t.share", "t.repeats")
     )
-    packed = materialise(
-        pack_blocks(docs, doc_id=doc_id, text=text, source=source, ranks=ranks, block_tokens=block_tokens), "blocks"
-    )
-    parts = packed.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"))
-    parts = materialise(parts, "parts")  # one row for each packing task and source
-    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = parts.select("source", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    sizes = parts.groupBy("source").agg(F.sum("n").alias("n_blocks"), F.sum("t").alias("n_tokens"))
+    tokens = materialise(tokenised(docs, doc_id=doc_id, text=text, source=source, ranks=ranks), "tokens").filter("n > 0")
+    sizes = materialise(tokens.groupBy("source").agg(F.sum("n").alias("n_tokens")), "sizes")
+    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
     plans = [
-        SourcePlan(r["source"], r["share"], r["repeats"], r["n_blocks"] or 0, r["n_tokens"] or 0)
-        for r in wanted.join(sizes, "source", "left").collect()
+        SourcePlan(r["source"], r["share"], r["repeats"], -(-(r["n_tokens"] or 0) // block_tokens), r["n_tokens"] or 0)
+        for r in wanted.join(sizes, "source", "left").collect()  # one row for each target source
     ]
     plans.sort(key=lambda p: p.source)
     plan_slots(plans, total_tokens)
 
-    slots = _slots(spark, plans, shard_slots, seed)
-    numbered = packed.join(first, ["source", "part"]).withColumn("block", F.col("first") + F.col("number"))
+    slots = slot_table(spark, plans, shard_slots, seed)
     taken = [p.source for p in plans if p.slots]
-    # Spark takes expanded slots for as small as the rows they come from, so the join's kind is not left to its estimate.
-    slots = slots.hint("shuffle_merge")
-    blocks = slots.join(numbered.filter(F.col("source").isin(taken)), ["source", "block"]).select(
+    blocks = cut_blocks(tokens.filter(F.col("source").isin(taken)), total, block_tokens)
+    # Spark takes expanded slots for as small as the shards they come from, so the join's kind is not left to its
+    # estimate. Blocks are gathered by the same key, so their tokens are not shuffled again for it.
+    mixed = slots.hint("shuffle_merge").join(blocks, ["source", "block"]).select(
         "shard", "slot", "source", "block", "repetition", "n_tokens", "tokens", "segments"
     )
-    lengths = numbered.select("source", "block", "n_tokens")
-    used = slots.join(lengths, ["source", "block"]).groupBy("source").agg(F.sum("n_tokens").alias("used_tokens"))
-    every = sizes.join(wanted, "source", "full").join(used, "source", "left")
+    known = spark.createDataFrame([(p.source, p.n_tokens, p.planned) for p in plans], "source string, n long, planned double")
+    length = F.least(F.lit(block_tokens), F.col("n") - F.col("block") * block_tokens)
+    used = slots.join(F.broadcast(known), "source").groupBy("source").agg(F.sum(length).alias("used_tokens"))
+    every = sizes.join(wanted, "source", "full").join(used, "source", "left").join(known.drop("n"), "source", "left")
     everything = F.sum(F.coalesce("used_tokens", F.lit(0))).over(Window.partitionBy())  # one row for each source
     report = every.select(
         "source",
@@ -402,7 +445,8 @@ def mix_sources(
         F.coalesce("repeats", F.lit(0)).cast("int").alias("max_repeats"),
         F.coalesce("n_tokens", F.lit(0)).cast("long").alias("source_tokens"),
         (F.coalesce("n_tokens", F.lit(0)) * F.coalesce("repeats", F.lit(0))).cast("long").alias("max_tokens"),
+        F.coalesce("planned", F.lit(0.0)).alias("planned_tokens"),
         F.coalesce("used_tokens", F.lit(0)).cast("long").alias("used_tokens"),
         F.coalesce(F.try_divide(F.coalesce("used_tokens", F.lit(0)), everything), F.lit(0.0)).alias("actual_share"),
     ).withColumn("limited", F.col("used_tokens") >= F.col("max_tokens"))
-    return Mixture(blocks, report)
+    return Mixture(mixed, report)

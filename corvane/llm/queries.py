@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.cooccurrence import cooccurrence
 from corvane.llm.leaks import leaked_items, leaked_passages
-from corvane.llm.mixture import Mixture, mix_sources
+from corvane.llm.mixture import BLOCK_TOKENS, Mixture, mix_sources
 from corvane.llm.percentiles import combine, radix_percentiles, sketch, sketch_percentiles
 from corvane.llm.topn import top_n
 from corvane.llm.truncation import truncated_texts, truncation_rates
@@ -17,6 +17,8 @@ from corvane.operators.skew import salted_join
 from corvane.tables import table
 
 PERCENTILES = (0.5, 0.9, 0.99)
+#: The vocabulary file of the public tokenizer in which sizes are counted.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +89,7 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), tokenizer=TOKENIZER)
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +102,20 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).report
 
 
+def p7_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the mixture keeps every source's repetitions, and comes within a block of its planned tokens."""
+    made = _mixture(spark, sf_dir)
+    times = made.blocks.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"), F.sum("n_tokens").alias("tokens"))
+    used = times.groupBy("source").agg(F.max("times").alias("times"), F.sum("tokens").alias("tokens"))
+    rows = made.report.join(used, "source", "left").na.fill(0, ["times", "tokens"])
+    return rows.select(
+        "source", "target_share", "max_repeats",
+        (F.col("times") <= F.col("max_repeats")).cast("int").alias("repeats_kept"),
+        (F.abs(F.col("tokens") - F.col("planned_tokens")) <= BLOCK_TOKENS).cast("int").alias("plan_kept"),
+        (F.col("tokens") == F.col("used_tokens")).cast("int").alias("report_true"),
+    )
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that were cut off."""
     return truncated_texts(table(spark, sf_dir, "documents")).filter("is_cut").select("doc_id")
@@ -114,7 +130,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_lift, p2_found, p4_percentiles, p4_monthly,
-        p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_rates,
+        p6_found, p6_items, p7_mixture, p7_shares, p7_limits, p8_found, p8_rates,
     )
 }
 
@@ -147,5 +163,8 @@ SQL = {
         select metric, state, count(*) as n, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.9) as p90,
             quantile_disc(value, 0.99) as p99, 0 as error_bound from m group by 1, 2""",
     "p6_found": f"{_RUNS} select item_id, doc_id from leak",
+    "p7_limits": """select source, coalesce(target_share, 0) as target_share, coalesce(max_repeats, 0) as max_repeats,
+        1 as repeats_kept, 1 as plan_kept, 1 as report_true
+        from (select distinct source from documents where source is not null) full join mix_targets using (source)""",
     "p6_items": f"""{_RUNS} select item_id, count(*) as n_docs, round(max(share), 6) as max_share from leak group by 1""",
 }

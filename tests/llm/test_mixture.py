@@ -3,7 +3,8 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from corvane.llm.mixture import TOKENIZER, SourcePlan, Tokenizer, draw_shards, mix_sources, permuted, plan_slots
+from corvane.llm.mixture import Shards, SourcePlan, Tokenizer, cut_blocks, mix_sources, permuted, plan_slots, slot_table, tokenised
+from corvane.llm.queries import TOKENIZER
 
 pytestmark = pytest.mark.skipif(not Path(TOKENIZER).exists(), reason="no vocabulary file")
 
@@ -18,9 +19,59 @@ def test_permutations():
 
 
 def test_drawn_shards_add_up():
-    drawn = list(draw_shards([100, 0, 7, 893], 64, seed=3))
-    assert np.sum(drawn, axis=0).tolist() == [100, 0, 7, 893]
-    assert [int(d.sum()) for d in drawn[:-1]] == [64] * (len(drawn) - 1) and len({tuple(d) for d in drawn}) > 3
+    shards = Shards([100, 0, 7, 893], 64, seed=3)
+    drawn = [shards[i] for i in range(shards.n)]
+    assert np.sum([here for _, here in drawn], axis=0).tolist() == [100, 0, 7, 893]
+    assert [sum(here) for _, here in drawn[:-1]] == [64] * (shards.n - 1) and len({here for _, here in drawn}) > 3
+    before = np.cumsum([(0, 0, 0, 0), *(here for _, here in drawn)], axis=0)
+    assert [b for b, _ in drawn] == [tuple(x) for x in before[:-1].tolist()]
+
+
+def test_draws_are_multinomial():
+    slots, size = (3000, 1000), 50
+    counts = np.array([Shards(slots, size, seed)[k][1] for seed in range(60) for k in range(80)])[:, 0]
+    p = 0.75
+    expected = size * p * (1 - p) * (1 - size / 4000)  # the variance of draws whose totals are given
+    assert counts.mean() == pytest.approx(size * p, abs=0.3) and counts.var() == pytest.approx(expected, rel=0.12)
+
+
+def test_a_hundred_billion_slots():
+    slots = (60_000_000_000, 39_999_000_000, 999_900, 100)
+    shards = Shards(slots, 8192, seed=5)
+    assert shards.n == -(-sum(slots) // 8192) and shards[0][0] == (0, 0, 0, 0)
+    for k in (0, 1, 77, shards.n // 2 - 1, shards.n // 3, shards.n - 2):
+        before, here = shards[k]
+        after = tuple(b + h for b, h in zip(before, here, strict=True))
+        assert sum(before) == k * 8192 and sum(here) == 8192 and min(before) >= 0 and min(here) >= 0
+        assert shards[k + 1][0] == after and all(a <= s for a, s in zip(after, slots, strict=True))
+        assert here[0] / 8192 == pytest.approx(0.6, abs=0.04)
+    before, here = shards[shards.n - 1]
+    assert tuple(b + h for b, h in zip(before, here, strict=True)) == slots
+    half = shards[shards.n // 2][0]
+    assert half[0] / slots[0] == pytest.approx(0.5, abs=1e-4) and half[2] / slots[2] == pytest.approx(0.5, abs=0.01)
+
+
+def test_slots_beyond_the_rows_of_a_driver(spark):
+    plans = [SourcePlan("a", 0.5, 1, 10**11, 10**14, 10**11), SourcePlan("b", 0.5, 4, 10**6, 10**9, 4 * 10**6)]
+    table = slot_table(spark, plans, 8192, 1)
+    assert table.rdd.getNumPartitions() > 10_000  # and no row of it has been made
+
+
+def blocks_of(spark, df, tasks, size=64):
+    ranks = Path(TOKENIZER).read_bytes()
+    tokens = tokenised(df.repartition(tasks), doc_id="doc_id", text="text", source="source", ranks=ranks).filter("n > 0")
+    rows = cut_blocks(tokens, 1 << 25, size).collect()
+    return sorted((r["source"], r["block"], r["n_tokens"], bytes(r["tokens"]), tuple(map(tuple, r["segments"]))) for r in rows)
+
+
+def test_blocks_do_not_depend_on_the_number_of_tasks(spark):
+    df = spark.createDataFrame(docs() + docs()[:30], "doc_id long, text string, source string")
+    one, many = blocks_of(spark, df, 1), blocks_of(spark, df, 64)
+    assert one == many
+    for source in {b[0] for b in one}:
+        mine = [b for b in one if b[0] == source]
+        assert [b[1] for b in mine] == list(range(len(mine)))
+        assert all(b[2] == 64 for b in mine[:-1])
 
 
 def plan(*rows, total=None):
@@ -59,7 +110,7 @@ def test_one_word_source(spark):
     rows = [(i, "the old reader keeps every idle buffer " * 50, ["a", "b"][i % 2]) for i in range(400)] + [(1000, "word", "c")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     t = spark.createDataFrame([("a", 0.6, 1), ("b", 0.3, 1), ("c", 0.1, 1)], "source string, target_share double, max_repeats int")
-    report = {r["source"]: r for r in mix_sources(d, t).report.collect()}
+    report = {r["source"]: r for r in mix_sources(d, t, tokenizer=TOKENIZER).report.collect()}
     assert report["a"]["actual_share"] == pytest.approx(2 / 3, abs=0.03) and report["b"]["actual_share"] == pytest.approx(1 / 3, abs=0.03)
     assert report["c"]["used_tokens"] == report["c"]["max_tokens"] > 0 and report["c"]["limited"]
     assert report["a"]["used_tokens"] > 0.95 * report["a"]["max_tokens"]
@@ -78,7 +129,7 @@ TARGETS = [("big", 0.5, 1), ("small", 0.3, 4), ("one", 0.2, 2), ("missing", 0.1,
 def mixed(spark):
     d = spark.createDataFrame([(*r, 1, "clash") for r in docs()], "doc_id long, text string, source string, part int, block string")
     t = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
-    return mix_sources(d, t, block_tokens=64, shard_slots=50)
+    return mix_sources(d, t, tokenizer=TOKENIZER, block_tokens=64, shard_slots=50)
 
 
 def test_no_part_of_a_text_is_lost_or_repeated_too_often(mixed):
@@ -89,7 +140,7 @@ def test_no_part_of_a_text_is_lost_or_repeated_too_often(mixed):
     allowed = {"big": 1, "small": 4, "one": 2}
     times = Counter()
     for r in rows:
-        tokens = np.frombuffer(r["tokens"], "<u4")
+        tokens = np.frombuffer(r["tokens"], "<u2")
         assert len(tokens) == r["n_tokens"] == sum(s["n"] for s in r["segments"]) <= 64
         at = 0
         for s in r["segments"]:
@@ -126,7 +177,7 @@ def test_same_seed_same_mixture(spark, mixed):
 def test_empty_tables(spark):
     d = spark.createDataFrame(docs()[:9], "doc_id long, text string, source string")
     t = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
-    for m in (mix_sources(d.limit(0), t), mix_sources(d, t.limit(0))):
+    for m in (mix_sources(d.limit(0), t, tokenizer=TOKENIZER), mix_sources(d, t.limit(0), tokenizer=TOKENIZER)):
         assert m.blocks.count() == 0
         assert all(r["used_tokens"] == 0 and r["actual_share"] == 0 for r in m.report.collect())
 
