@@ -74,8 +74,8 @@ def p4_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_percentiles(combine(by_month), ["metric", "state"], PERCENTILES)
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+def _leaks(spark: SparkSession, sf_dir: str, slack: int = 0) -> DataFrame:
+    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), slack=slack)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).select("item_id", "doc_id")
 
 
+def p6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a quarter of the runs only if up to three words may be put into each."""
+    near = _leaks(spark, sf_dir, slack=3).filter("match_kind = 'near'")
+    return near.select("item_id", "doc_id", "n_exact", "n_near")
+
+
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaked items."""
     return leaked_items(_leaks(spark, sf_dir)).select("item_id", "n_docs", F.round("max_share", 6).alias("max_share"))
@@ -130,7 +136,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_lift, p2_found, p4_percentiles, p4_monthly,
-        p6_found, p6_items, p7_mixture, p7_shares, p7_limits, p8_found, p8_rates,
+        p6_found, p6_near, p6_items, p7_mixture, p7_shares, p7_limits, p8_found, p8_rates,
     )
 }
 
@@ -148,7 +154,20 @@ _RUNS = """with d as (select doc_id, [lower(x) for x in regexp_extract_all(text,
     hit as (select item_id, doc_id, count(*) as k from er join dr using (r) group by 1, 2),
     leak as (select item_id, doc_id, k / n as share from hit join n using (item_id) where 4 * k >= n)"""
 
+# Each run's words in their order, the last at most three words later than without gaps.
+_NEAR = f"""{_RUNS},
+    w as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as at from d),
+    runs as (select distinct r, string_split(r, ' ') as x from er),
+    g1 as (select r, x, doc_id, at as a, at from runs join w on word = x[1]),
+    g2 as (select distinct r, x, g.doc_id, a, w.at from g1 g join w on w.doc_id = g.doc_id and word = x[2] and w.at > g.at and w.at <= a + 4),
+    g3 as (select distinct r, x, g.doc_id, a, w.at from g2 g join w on w.doc_id = g.doc_id and word = x[3] and w.at > g.at and w.at <= a + 5),
+    g4 as (select distinct r, x, g.doc_id, a, w.at from g3 g join w on w.doc_id = g.doc_id and word = x[4] and w.at > g.at and w.at <= a + 6),
+    g5 as (select distinct r, g.doc_id from g4 g join w on w.doc_id = g.doc_id and word = x[5] and w.at > g.at and w.at <= a + 7),
+    every as (select item_id, doc_id, count(*) as m from er join g5 using (r) group by 1, 2)"""
+
 SQL = {
+    "p6_near": f"""{_NEAR} select item_id, doc_id, coalesce(k, 0) as n_exact, m - coalesce(k, 0) as n_near
+        from every left join hit using (item_id, doc_id) join n using (item_id) where 4 * m >= n and 4 * coalesce(k, 0) < n""",
     "p1_found": f"{_PAIRS} select pid_a, pid_b from pairs where n_ab * n >= 6 * n_a * n_b",
     "p1_lift": f"""{_PAIRS} select pid_a, pid_b, n_a, n_b, n_ab,
         round(n_ab * cast(n as double) / (n_a * cast(n_b as double)), 6) as lift from pairs""",
