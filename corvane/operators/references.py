@@ -4,23 +4,22 @@ Every change of a referenced table is a signed delta of its key's existence
 count: +1 when a record appears, -1 when it goes. Every referring record is a
 +1 (or, when withdrawn, -1) of the key's reference count. A key is an orphan
 where references are positive while existence is zero: now (`current_orphans`,
-kept up to date by `apply_deltas`) or at the moment of each reference
-(`orphan_references`).
+kept up to date by `apply_deltas`) or at the moment of each reference, where
+both kinds of deltas are summed up in the order of time (`orphan_references`).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.operators.skew import HOT_ROWS, salted_join
-
-#: Keys with more existence changes than this are looked up day by day.
-MAX_CHANGES = 1000
+from corvane.operators.skew import HOT_ROWS, hot_keys, hottest
+from corvane.storage import materialise
 
 
 @dataclass(frozen=True)
@@ -57,14 +56,16 @@ def existence_deltas(ref: Reference) -> DataFrame:
     )
 
 
-def reference_deltas(facts: DataFrame, ref: Reference, at: str) -> DataFrame:
-    """``(ref_table, key, at, refs, exists)``: each referring record as +1 reference of its key."""
+def reference_deltas(facts: DataFrame, ref: Reference, at: str, ident: str | None = None) -> DataFrame:
+    """``(ref_table, key, at, refs, exists)``: each referring record as +1 reference of its key; with ``ident``, its ``id`` too."""
+    more = [] if ident is None else [F.col(ident).alias("id")]
     return facts.filter(F.col(ref.column).isNotNull()).select(
         F.lit(ref.name).alias("ref_table"),
         F.col(ref.column).alias("key"),
         F.col(at).alias("at"),
         F.lit(1).cast("long").alias("refs"),
         F.lit(0).cast("long").alias("exists"),
+        *more,
     )
 
 
@@ -88,74 +89,74 @@ def current_orphans(ledger: DataFrame) -> DataFrame:
     return ledger.filter("refs > 0 and exists <= 0").select("ref_table", "key", "refs")
 
 
-def _count_at(changes: Column, at: Column) -> Column:
-    return F.aggregate(F.filter(changes, lambda d: d["at"] <= at), F.lit(0).cast("long"), lambda s, d: s + d["n"])
-
-
-def _day(c: Column) -> Column:
-    return F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date"))
-
-
-def _states(ref: Reference, max_changes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Existence changes: a list for each key (none for busy keys), the busy keys, and their changes.
-
-    Changes of equal time are folded into one, so repeated rows add nothing.
-    """
-    folded = (
-        existence_deltas(ref)
-        .groupBy("key", "at")
-        .agg(F.sum("exists").alias("n"), F.sum("always").alias("always"))
-        .filter("n <> 0")
-    )
-    sizes = folded.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    busy = sizes.filter(F.col("size") > max_changes).select("key", F.lit(True).alias("busy"))
-    change, always = F.struct("at", "n"), F.sum("always").alias("always")
-    if not busy.head(1):
-        return folded.groupBy("key").agg(F.collect_list(change).alias("changes"), always), busy, folded
-    marked = folded.join(busy, "key", "left")
-    few = marked.groupBy("key").agg(F.collect_list(F.when(F.col("busy").isNull(), change)).alias("changes"), always)
-    return few, busy.select("key"), marked.filter("busy").drop("busy")
-
-
-def _by_day(busy: DataFrame, changes: DataFrame, first: int, last: int) -> DataFrame:
-    """For each busy key and day from first - 1 on: the count before the day, and the day's changes.
-
-    There is one row for each key and day of the facts, however many changes
-    the table holds; changes before ``first`` count on the day before it, those
-    after ``last`` cannot matter.
-    """
-    change = F.struct("at", "n")
-    days = (
-        changes.withColumn("day", F.greatest(F.lit(first - 1), _day(F.col("at"))))
-        .filter(F.col("day") <= last)
-        .groupBy("key", "day")
-        .agg(F.sum("n").alias("net"), F.collect_list(F.when(F.col("day") >= first, change)).alias("changes"))
-    )
-    grid = busy.select("key", F.explode(F.sequence(F.lit(first - 1), F.lit(last))).alias("day"))
-    earlier = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+# In the order of a key's deltas: sums carried over from earlier slices, what holds at all times, and what has a time.
+# Of deltas at one time, existence comes before references.
+_CARRIED, _ALWAYS, _TIMED = 0, 1, 2
+
+
+def _folded(ref: Reference) -> DataFrame:
+    """``(key, phase, at, exists)``: existence deltas, those of one key and time in one row, so repeated rows add none."""
+    deltas = existence_deltas(ref)
+    always = deltas.filter("always > 0").withColumn("at", F.lit(None).cast(deltas.schema["at"].dataType))
+    timed = deltas.filter("always = 0").withColumn("phase", F.lit(_TIMED))
+    rows = always.withColumn("phase", F.lit(_ALWAYS)).unionByName(timed)
+    return rows.groupBy("key", "phase", "at").agg(F.sum("exists").alias("exists")).filter("exists <> 0")
+
+
+def _sliced(deltas: DataFrame, refs: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both with ``slice``: the changes of a key with very many are cut into ranges of time, each begun by the sum before it."""
+    sizes = deltas.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    busy = [k for k, _ in hottest(sizes, "key", hot_rows=hot_rows)]
+    whole = F.lit(0).alias("slice")
+    if not busy:
+        return deltas.select("*", whole), refs.select("*", whole)
+    parts = math.ceil(sizes.agg(F.max("n")).first()[0] / hot_rows)
+    marks = [i / parts for i in range(1, parts)] or [1.0]
+    place = F.unix_micros(F.col("at").cast("timestamp"))
+    bounds = deltas.filter(F.col("key").isin(busy)).groupBy("key").agg(F.percentile_approx(place, marks).alias("bounds"))
+    bounds = F.broadcast(materialise(bounds, "slices"))  # for at most TRACKED keys
+    number = F.coalesce(F.size(F.filter("bounds", lambda b: b <= place)), F.lit(0))
+    number = F.when(F.col("bounds").isNull() | F.col("at").isNull(), 0).otherwise(number).alias("slice")
+    cut = lambda rows: rows.join(bounds, "key", "left").select(*rows.columns, number)
+    mine = cut(deltas)
+    nets = mine.join(bounds.select("key"), "key").groupBy("key", "slice").agg(F.sum("exists").alias("net"))
+    slices = bounds.select("key", F.explode(F.sequence(F.lit(0), F.size("bounds"))).alias("slice"))
+    before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.join(nets, ["key", "slice"], "left").select(
+        "key", F.lit(_CARRIED).alias("phase"), F.lit(None).cast(deltas.schema["at"].dataType).alias("at"),
+        F.coalesce(F.sum("net").over(before), F.lit(0)).alias("exists"), "slice",
+    )
+    return mine.unionByName(carried.filter("exists <> 0")), cut(refs)
+
+
+def _salted(deltas: DataFrame, refs: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both with ``salt``: references of a hot key are spread, and its existence deltas repeated for each salt."""
+    hot = hot_keys(refs, "key", hot_rows=hot_rows)
+    if not hot:
+        return deltas.withColumn("salt", F.lit(0)), refs.withColumn("salt", F.lit(0))
+    kind = refs.schema["key"].dataType.simpleString()
+    rows = [(k, math.ceil(n / hot_rows) + 1) for k, n in hot]
+    salts = F.broadcast(refs.sparkSession.createDataFrame(rows, f"key {kind}, salts int"))  # at most TRACKED rows
+    number = F.coalesce(F.pmod(F.xxhash64("id", "at"), F.col("salts").cast("long")).cast("int"), F.lit(0)).alias("salt")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
     return (
-        grid.join(days, ["key", "day"], "left")
-        .withColumn("before", F.coalesce(F.sum("net").over(earlier), F.lit(0).cast("long")))
-        .select("key", "day", "before", "changes")
+        deltas.join(salts, "key", "left").select(*deltas.columns, every),
+        refs.join(salts, "key", "left").select(*refs.columns, number),
     )
 
 
 def orphan_references(
-    facts: DataFrame,
-    refs: Sequence[Reference],
-    *,
-    ident: str,
-    at: str,
-    hot_rows: int = HOT_ROWS,
-    max_changes: int = MAX_CHANGES,
+    facts: DataFrame, refs: Sequence[Reference], *, ident: str, at: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """References whose key did not exist when they were made.
 
     Returns ``(ref_table, <ident>, key, at)``, one row for each referring record
-    and reference, with repeated deliveries of a record folded into one. The
-    existence count of a key at time t is the sum of its signed deltas up to and
-    including t, so a record exists from its creation (inclusive) to its
-    deletion (exclusive), and overlapping or repeated rows of a key add up.
+    and reference, with repeated deliveries of a record folded into one. All
+    deltas of a key, of existence and of references, are put in the order of
+    time and summed up: a reference is an orphan where the existence count up to
+    and including its time is zero. So a record exists from its creation
+    (inclusive) to its deletion (exclusive), and overlapping or repeated rows of
+    a key add up.
 
     Null keys refer to nothing and are never orphans. A null ``at`` is met only
     by records that exist always (both times null). An empty referenced table
@@ -163,28 +164,27 @@ def orphan_references(
     named columns are read, so other columns cannot clash. Records with a null
     ``ident`` are kept, repeated ones folded into one.
 
-    Hot keys among the facts are salted (`salted_join`); a referenced key with a
-    great many changes is looked up day by day (`_by_day`), so no list grows with
-    the table except by changes of one key within one day.
+    One shuffle for each reference. References of a hot key are salted; the
+    changes of a key with very many are cut into slices of time that are summed
+    apart. Nothing depends on how far times lie from each other.
     """
     found = []
     for ref in refs:
-        mine = facts.filter(F.col(ref.column).isNotNull()).select(
-            F.col(ref.column).alias("key"), F.col(ident).alias("id"), F.col(at).alias("t")
+        deltas = _folded(ref)
+        made = reference_deltas(facts, ref, at, ident).select(
+            "key", F.when(F.col("at").isNull(), _ALWAYS).otherwise(_TIMED).alias("phase"), "at", "refs", "id"
         )
-        few, busy, changes = _states(ref, max_changes)
-        lists, before = F.col("changes"), F.lit(0).cast("long")
-        if busy.head(1):
-            span = mine.agg(F.min(_day(F.col("t"))).alias("a"), F.max(_day(F.col("t"))).alias("b")).first()
-            by_day = _by_day(busy, changes, span["a"] or 0, span["b"] or 0).withColumnRenamed("changes", "of_day")
-            mine = mine.withColumn("day", _day(F.col("t"))).join(by_day, ["key", "day"], "left")
-            lists = F.when(F.col("before").isNotNull(), F.coalesce("of_day", F.slice("changes", 1, 0))).otherwise(lists)
-            before = F.coalesce("before", before)
-        looked = salted_join(mine, few, "key", F.col("id"), hot_rows=hot_rows)
-        count = F.when(F.col("t").isNull(), F.col("always")).otherwise(before + _count_at(lists, F.col("t")))
+        deltas, made = _salted(*_sliced(deltas, made, hot_rows), hot_rows)
+        kind = made.schema["at"].dataType
+        none = F.lit(None).cast(made.schema["id"].dataType)
+        order = ["key", "slice", "salt", "phase", "at", "refs", "exists", "id"]
+        rows = deltas.withColumns({"at": F.col("at").cast(kind), "refs": F.lit(0).cast("long"), "id": none}).select(*order)
+        rows = rows.unionByName(made.withColumn("exists", F.lit(0).cast("long")).select(*order))
+        upto = Window.partitionBy("key", "slice", "salt").orderBy("phase", "at", "refs")
+        summed = rows.withColumn("existing", F.sum("exists").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
         found.append(
-            looked.filter(F.coalesce(count, F.lit(0)) <= 0).select(
-                F.lit(ref.name).alias("ref_table"), F.col("id").alias(ident), "key", F.col("t").alias("at")
+            summed.filter("refs > 0 and existing <= 0").select(
+                F.lit(ref.name).alias("ref_table"), F.col("id").alias(ident), "key", "at"
             )
         )
     out = found[0]

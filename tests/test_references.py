@@ -1,5 +1,5 @@
 import itertools
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from corvane.operators.references import (
@@ -42,7 +42,7 @@ def brute(rows):
     return sorted({r[0] for r in rows if r[1] is not None and not lives(r[1], r[2])})
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_rows": 3}, {"max_changes": 1}, {"max_changes": 0, "hot_rows": 2}])
+@pytest.mark.parametrize("options", [{}, {"hot_rows": 3}, {"hot_rows": 1}, {"hot_rows": 2}])
 def test_orphans_as_of_each_reference(spark, options):
     rows = facts()
     table = spark.createDataFrame(OWNERS, SCHEMA)
@@ -61,6 +61,23 @@ def test_empty_tables(spark):
     assert orphan_references(orders.limit(0), [Reference("users", "uid", some, "uid")], ident="oid", at="placed_at").count() == 0
 
 
+@pytest.mark.parametrize("hot_rows", [50, 10**6])
+def test_a_key_with_very_many_changes_and_far_dates(spark, hot_rows):
+    """The number of rows that are sorted is that of the deltas, whatever the times are."""
+    start = datetime(2024, 1, 1)
+    minute = lambda n: start + timedelta(minutes=n)
+    owners = [(7, minute(10 * i), minute(10 * i + 5)) for i in range(1000)] + [(8, datetime(1, 1, 1), datetime(9999, 12, 31))]
+    orders = [(i, 7, minute(i)) for i in range(0, 10_000, 3)] + [(20_000, 8, datetime(1, 1, 2)), (20_001, 8, datetime(9999, 12, 31)), (20_002, 7, None)]
+    orders += [(30_000 + i, 7, minute(7)) for i in range(300)] + [(40_000 + i, 7, minute(12)) for i in range(300)]
+    found = orphan_references(
+        spark.createDataFrame(orders, "oid int, uid int, placed_at timestamp_ntz"),
+        [Reference("users", "uid", spark.createDataFrame(owners, SCHEMA), "uid")],
+        ident="oid", at="placed_at", hot_rows=hot_rows,
+    )
+    wanted = {i for i in range(0, 10_000, 3) if i % 10 >= 5} | {20_001, 20_002} | {30_000 + i for i in range(300)}
+    assert {r["oid"] for r in found.collect()} == wanted
+
+
 def test_report_by_month(spark):
     orders = spark.createDataFrame([(1, 9, day(1)), (2, 9, day(2)), (3, 8, datetime(2024, 2, 1))], "oid int, uid int, placed_at timestamp_ntz")
     none = spark.createDataFrame([], SCHEMA)
