@@ -156,18 +156,18 @@ _RUNS = """with d as (select doc_id, [lower(x) for x in regexp_extract_all(text,
 
 # Each run's words in their order, the last at most three words later than without gaps.
 _NEAR = f"""{_RUNS},
-    w as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as at from d),
+    w as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d),
     runs as (select distinct r, string_split(r, ' ') as x from er),
-    g1 as (select r, x, doc_id, at as a, at from runs join w on word = x[1]),
-    g2 as (select distinct r, x, g.doc_id, a, w.at from g1 g join w on w.doc_id = g.doc_id and word = x[2] and w.at > g.at and w.at <= a + 4),
-    g3 as (select distinct r, x, g.doc_id, a, w.at from g2 g join w on w.doc_id = g.doc_id and word = x[3] and w.at > g.at and w.at <= a + 5),
-    g4 as (select distinct r, x, g.doc_id, a, w.at from g3 g join w on w.doc_id = g.doc_id and word = x[4] and w.at > g.at and w.at <= a + 6),
-    g5 as (select distinct r, g.doc_id from g4 g join w on w.doc_id = g.doc_id and word = x[5] and w.at > g.at and w.at <= a + 7),
-    every as (select item_id, doc_id, count(*) as m from er join g5 using (r) group by 1, 2)"""
+    g1 as (select r, x, doc_id, i as a, i from runs join w on word = x[1]),
+    g2 as (select distinct r, x, g.doc_id, a, w.i from g1 g join w on w.doc_id = g.doc_id and word = x[2] and w.i > g.i and w.i <= a + 4),
+    g3 as (select distinct r, x, g.doc_id, a, w.i from g2 g join w on w.doc_id = g.doc_id and word = x[3] and w.i > g.i and w.i <= a + 5),
+    g4 as (select distinct r, x, g.doc_id, a, w.i from g3 g join w on w.doc_id = g.doc_id and word = x[4] and w.i > g.i and w.i <= a + 6),
+    g5 as (select distinct r, g.doc_id from g4 g join w on w.doc_id = g.doc_id and word = x[5] and w.i > g.i and w.i <= a + 7),
+    whole as (select item_id, doc_id, count(*) as m from er join g5 using (r) group by 1, 2)"""
 
 SQL = {
     "p6_near": f"""{_NEAR} select item_id, doc_id, coalesce(k, 0) as n_exact, m - coalesce(k, 0) as n_near
-        from every left join hit using (item_id, doc_id) join n using (item_id) where 4 * m >= n and 4 * coalesce(k, 0) < n""",
+        from whole left join hit using (item_id, doc_id) join n using (item_id) where 4 * m >= n and 4 * coalesce(k, 0) < n""",
     "p1_found": f"{_PAIRS} select pid_a, pid_b from pairs where n_ab * n >= 6 * n_a * n_b",
     "p1_lift": f"""{_PAIRS} select pid_a, pid_b, n_a, n_b, n_ab,
         round(n_ab * cast(n as double) / (n_a * cast(n_b as double)), 6) as lift from pairs""",
