@@ -13,7 +13,7 @@ from corvane.llm.mixture import BLOCK_TOKENS, Mixture, mix_sources
 from corvane.llm.percentiles import combine, radix_percentiles, sketch, sketch_percentiles
 from corvane.llm.topn import top_n
 from corvane.llm.truncation import truncated_texts, truncation_rates
-from corvane.operators.skew import salted_join
+from corvane.operators.skew import hot_keys, salted_join
 from corvane.tables import table
 
 PERCENTILES = (0.5, 0.9, 0.99)
@@ -54,8 +54,9 @@ def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = users.groupBy("uid").agg(F.max(F.struct("created_at", "state", "age")).alias("a"))
     accounts = last.select("uid", F.col("a.state").alias("state"), F.col("a.age").alias("age"), F.col("a.created_at").alias("at"))
     orders = table(spark, sf_dir, "sales_orders").filter(F.col("total").isNotNull())
+    hot = hot_keys(orders, "uid")  # rows as delivered are no fewer than the orders, and need not be made distinct twice
     once = orders.select("oid", "uid", "total", "placed_at").distinct()
-    totals = salted_join(once, accounts.select("uid", "state"), "uid", F.col("oid"))
+    totals = salted_join(once, accounts.select("uid", "state"), "uid", F.col("oid"), hot=hot)
     month = lambda c: F.date_format(c, "yyyy-MM")
     return totals.select(
         F.lit("order_total").alias("metric"), "state", month("placed_at").alias("month"), F.col("total").alias("value")
@@ -74,6 +75,22 @@ def p4_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_percentiles(combine(by_month), ["metric", "state"], PERCENTILES)
 
 
+def p4_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the bounds from the months hold the exact percentiles and are as narrow as promised."""
+    groups, names = ["metric", "state"], ("p50", "p90", "p99")
+    bounds = p4_monthly(spark, sf_dir)
+    exact = p4_percentiles(spark, sf_dir).select(*(F.col(g).alias(f"exact_{g}") for g in groups), F.col("n").alias("exact_n"), *names)
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"exact_{g}"))
+
+    def holds(p: str):
+        low, high = F.col(f"{p}_low"), F.col(f"{p}_high")
+        return ((low <= F.col(p)) & (F.col(p) <= high) & (high - low <= F.abs(low) / 128 + 1e-300)).cast("int").alias(f"{p}_inside")
+
+    return bounds.join(exact, same).select(*groups, (F.col("n") == F.col("exact_n")).cast("int").alias("same_n"), *map(holds, names))
+
+
 def _leaks(spark: SparkSession, sf_dir: str, slack: int = 0) -> DataFrame:
     return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), slack=slack)
 
@@ -84,9 +101,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a quarter of the runs only if up to three words may be put into each."""
-    near = _leaks(spark, sf_dir, slack=3).filter("match_kind = 'near'")
-    return near.select("item_id", "doc_id", "n_exact", "n_near")
+    """Documents that hold a quarter of the runs, if up to three words may be put into each, with both counts."""
+    return _leaks(spark, sf_dir, slack=3).select("item_id", "doc_id", "n_exact", "n_near", "match_kind")
 
 
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +151,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_lift, p2_found, p4_percentiles, p4_monthly,
+        p1_found, p1_lift, p2_found, p4_percentiles, p4_monthly, p4_bounds,
         p6_found, p6_near, p6_items, p7_mixture, p7_shares, p7_limits, p8_found, p8_rates,
     )
 }
@@ -165,22 +181,27 @@ _NEAR = f"""{_RUNS},
     g5 as (select distinct r, g.doc_id from g4 g join w on w.doc_id = g.doc_id and word = x[5] and w.i > g.i and w.i <= a + 7),
     whole as (select item_id, doc_id, count(*) as m from er join g5 using (r) group by 1, 2)"""
 
+_MEASURES = """with a as (select uid, state, age from users where uid is not null qualify row_number() over (
+            partition by uid order by created_at desc nulls last, state desc nulls last, age desc nulls last) = 1),
+        o as (select distinct oid, uid, total, placed_at from sales_orders where total is not null),
+        m as (select 'order_total' as metric, state, total as value from o left join a using (uid)
+            union all select 'user_age', state, age from a where age is not null)"""
+
 SQL = {
-    "p6_near": f"""{_NEAR} select item_id, doc_id, coalesce(k, 0) as n_exact, m - coalesce(k, 0) as n_near
-        from whole left join hit using (item_id, doc_id) join n using (item_id) where 4 * m >= n and 4 * coalesce(k, 0) < n""",
+    "p6_near": f"""{_NEAR} select item_id, doc_id, coalesce(k, 0) as n_exact, m - coalesce(k, 0) as n_near,
+        case when 4 * coalesce(k, 0) >= n then 'exact' else 'near' end as match_kind
+        from whole left join hit using (item_id, doc_id) join n using (item_id) where 4 * m >= n""",
     "p1_found": f"{_PAIRS} select pid_a, pid_b from pairs where n_ab * n >= 6 * n_a * n_b",
     "p1_lift": f"""{_PAIRS} select pid_a, pid_b, n_a, n_b, n_ab,
         round(n_ab * cast(n as double) / (n_a * cast(n_b as double)), 6) as lift from pairs""",
     "p2_found": """select uid, oid from (select distinct uid, oid, total, placed_at from sales_orders
         where uid is not null and total is not null)
         qualify row_number() over (partition by uid order by total desc, placed_at, oid) <= 5""",
-    "p4_percentiles": """with a as (select uid, state, age from users where uid is not null qualify row_number() over (
-            partition by uid order by created_at desc nulls last, state desc nulls last, age desc nulls last) = 1),
-        o as (select distinct oid, uid, total, placed_at from sales_orders where total is not null),
-        m as (select 'order_total' as metric, state, total as value from o left join a using (uid)
-            union all select 'user_age', state, age from a where age is not null)
+    "p4_percentiles": f"""{_MEASURES}
         select metric, state, count(*) as n, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.9) as p90,
             quantile_disc(value, 0.99) as p99, 0 as error_bound from m group by 1, 2""",
+    "p4_bounds": f"""{_MEASURES}
+        select distinct metric, state, 1 as same_n, 1 as p50_inside, 1 as p90_inside, 1 as p99_inside from m""",
     "p6_found": f"{_RUNS} select item_id, doc_id from leak",
     "p7_limits": """select source, coalesce(target_share, 0) as target_share, coalesce(max_repeats, 0) as max_repeats,
         1 as repeats_kept, 1 as plan_kept, 1 as report_true

@@ -5,6 +5,8 @@ tie-breaking identifiers, each mapped to an unsigned 64-bit word in which
 larger is better. For all groups of a block of rows at once, a cutoff is
 bisected word by word: rows at or above the midpoint are counted per group, and
 the interval is halved towards the cutoff above which exactly N rows lie.
+Nothing is sorted before. Repetitions are looked for among the few rows that
+are left, and the cutoff is lowered for groups that fall short without them.
 
 Blocks of rows are cut down to N rows per group before anything is shuffled,
 so a group's share of the shuffle is bounded by N rows for each block, however
@@ -36,7 +38,9 @@ def ordered_word(column: pa.Array, ascending: bool) -> np.ndarray:
 
     Integers, booleans, dates and timestamps keep their order by a flipped sign
     bit. Of floats the sign bit is flipped if it is clear, else all bits; -0.0
-    equals 0.0 and NaN is greater than every number. Nulls come last either way.
+    equals 0.0 and NaN is greater than every number. Strings become their place
+    among the different ones of the block, in the order of their bytes. Nulls
+    come last either way.
     """
     nulls = np.asarray(pc.is_null(column))
     if pa.types.is_floating(column.type):
@@ -44,6 +48,11 @@ def ordered_word(column: pa.Array, ascending: bool) -> np.ndarray:
         x[np.isnan(x)] = np.nan
         bits = x.view(np.uint64)
         word = np.where(bits >> np.uint64(63) == 1, ~bits, bits | _TOP)
+    elif pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        encoded = pc.fill_null(column, "").dictionary_encode()
+        place = np.empty(len(encoded.dictionary), np.uint64)
+        place[np.asarray(pc.sort_indices(encoded.dictionary.cast(pa.large_binary())))] = np.arange(len(place), dtype=np.uint64)
+        word = place[np.asarray(encoded.indices)] + np.uint64(1)
     else:
         if pa.types.is_date32(column.type):
             column = column.cast(pa.int32())
@@ -56,96 +65,107 @@ def ordered_word(column: pa.Array, ascending: bool) -> np.ndarray:
     return word
 
 
-def bisect_top(group: np.ndarray, words: Sequence[np.ndarray], n: int) -> np.ndarray:
+def _cut_rows(rows: np.ndarray, group: np.ndarray, words: Sequence[np.ndarray], want: np.ndarray) -> np.ndarray:
+    """Those of ``rows`` that are among the ``want`` best of their group; of rows that tie in all words at the cutoff, one."""
+    kept: list[np.ndarray] = []
+    n_groups, need = len(want), want.copy()
+    for word in words:
+        if not len(rows):
+            break
+        g, value = group[rows], word[rows]
+        lo, hi = np.full(n_groups, np.iinfo(np.uint64).max), np.zeros(n_groups, np.uint64)
+        np.minimum.at(lo, g, value)
+        np.maximum.at(hi, g, value)
+        few = np.bincount(g, minlength=n_groups) <= need
+        hi[few] = lo[few]  # everything is kept
+        above = np.zeros(n_groups, np.int64)  # rows known to lie above the interval
+        open_ = np.flatnonzero(lo[g] < hi[g])
+        while len(open_):
+            og, ov = g[open_], value[open_]
+            mid = hi - ((hi - lo) >> np.uint64(1))
+            upper = ov >= mid[og]
+            at_least = above + np.bincount(og[upper], minlength=n_groups)
+            live = lo < hi
+            enough, exact = live & (at_least >= need), live & (at_least == need)
+            lo = np.where(enough, mid, lo)
+            hi = np.where(live & ~enough, mid - np.uint64(1), hi)
+            hi[exact] = lo[exact]
+            above = np.where(live & ~enough, at_least, above)
+            open_ = open_[(upper == enough[og]) & (lo < hi)[og]]
+        over, tied = value > lo[g], value == lo[g]
+        kept.append(rows[over])
+        need = need - np.bincount(g[over], minlength=n_groups)
+        whole = np.bincount(g[tied], minlength=n_groups) <= need
+        kept.append(rows[tied & whole[g]])
+        rows = rows[tied & ~whole[g] & (need > 0)[g]]
+    if len(rows):
+        kept.append(rows[np.unique(group[rows], return_index=True)[1]])
+    return np.concatenate(kept) if kept else rows
+
+
+def bisect_top(group: np.ndarray, words: Sequence[np.ndarray], n: int, distinct: bool = True) -> np.ndarray:
     """Row numbers of the ``n`` best distinct codes of every group, ascending.
 
     ``group`` numbers the groups from 0. Of rows with the same group and code
-    only the first counts. Groups with at most ``n`` rows need no bisection.
+    only the first counts. Unless ``distinct``, groups with at most ``n`` rows
+    may keep their repetitions.
     """
     size = np.bincount(group) if len(group) else np.zeros(0, np.int64)
-    large = size > n
-    settled = np.flatnonzero(~large[group])
-    rows = np.flatnonzero(large[group])
-    # Equal codes are one row. Small groups may keep their repetitions here; the last pass drops them.
-    rows = _first_of_each(rows, group, words)
-    kept = [settled]
-    need = np.full(len(size), n, np.int64)
-    for word in words:
-        if not len(rows):
-            break
-        g, rows = _by_group(group, rows)
-        value = word[rows]
-        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        ids = g[starts]
-        counts = np.diff(np.r_[starts, len(g)])
-        few = counts <= need[ids]
-        lo, hi = np.minimum.reduceat(value, starts), np.maximum.reduceat(value, starts)
-        lo[few] = hi[few] = lo[few]  # everything is kept
-        place = np.repeat(np.arange(len(ids)), counts)
-        live = np.flatnonzero(lo < hi)
-        while len(live):
-            span = hi[live] - lo[live]
-            mid = lo[live] + (span >> np.uint64(1)) + (span & np.uint64(1))
-            at = np.full(len(ids), -1)
-            at[live] = np.arange(len(live))
-            mine = at[place]
-            inside = mine >= 0
-            above = np.bincount(mine[inside], value[inside] >= mid[mine[inside]], len(live)).astype(np.int64)
-            wanted = need[ids[live]]
-            enough = above >= wanted
-            lo[live] = np.where(enough, mid, lo[live])
-            hi[live] = np.where(enough, hi[live], mid - np.uint64(1))
-            hi[live] = np.where(above == wanted, mid, hi[live])
-            live = live[lo[live] < hi[live]]
-        cut = lo[place]
-        over, tied = value > cut, value == cut
-        kept.append(rows[over])
-        need[ids] -= np.bincount(place, over, len(ids)).astype(np.int64)
-        ties = np.bincount(place, tied, len(ids)).astype(np.int64)
-        whole = ties <= need[ids]
-        kept.append(rows[tied & whole[place]])
-        rows = rows[tied & ~whole[place] & (need[ids][place] > 0)]
-    return np.sort(np.concatenate(kept))
+    small = np.flatnonzero((size <= n)[group])
+    done = [_first_of_each(small, group, words) if distinct else small]
+    rows, want = np.flatnonzero((size > n)[group]), np.full(len(size), n, np.int64)
+    while len(rows):
+        kept = _cut_rows(rows, group, words, want)
+        first = _first_of_each(kept, group, words)
+        have = np.bincount(group[first], minlength=len(size))
+        short = (have < n) & (want < size)
+        done.append(_best(first[~short[group[first]]], group, words, n))
+        rows = rows[short[group[rows]]]
+        want = np.minimum(2 * want, size)
+    return np.sort(np.concatenate(done))
 
 
-def _by_group(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    rows = rows[np.argsort(group[rows], kind="stable")]
-    return group[rows], rows
+def _sorted(rows: np.ndarray, group: np.ndarray, words: Sequence[np.ndarray]) -> np.ndarray:
+    """The rows by group, best codes first, equal ones in their order."""
+    return rows[np.lexsort([rows, *(~w[rows] for w in reversed(words)), group[rows]])]
 
 
 def _first_of_each(rows: np.ndarray, group: np.ndarray, words: Sequence[np.ndarray]) -> np.ndarray:
-    """The rows without those whose group and code stood earlier."""
+    """The rows, by group and code, without those whose group and code stood earlier."""
+    rows = _sorted(rows, group, words)
+    differs = np.ones(len(rows), bool)
+    if len(rows):
+        differs[1:] = group[rows[1:]] != group[rows[:-1]]
+        for w in words:
+            differs[1:] |= w[rows[1:]] != w[rows[:-1]]
+    return rows[differs]
+
+
+def _best(rows: np.ndarray, group: np.ndarray, words: Sequence[np.ndarray], n: int) -> np.ndarray:
+    """The first ``n`` rows of each group, of rows by group and code."""
     if not len(rows):
         return rows
-    keys = [rows, *(w[rows] for w in reversed(words)), group[rows]]
-    order = np.lexsort(keys)
-    differs = np.zeros(len(rows), bool)
-    differs[0] = True
-    for k in keys[1:]:
-        sorted_k = k[order]
-        differs[1:] |= sorted_k[1:] != sorted_k[:-1]
-    return np.sort(rows[order[differs]])
+    g = group[rows]
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
+    return rows[place < n]
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.dictionary_encode(column, null_encoding="encode").indices, 0)).astype(np.int64)
 
 
 def _cut(table: pa.Table, n_group: int, n_words: int, ascending: Sequence[bool], n: int, last: bool) -> pa.Table:
     """The table without rows that cannot be among the top ``n`` of their group."""
     if not table.num_rows:
         return table
-    table = table.combine_chunks()
+    columns = [c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) for c in table.combine_chunks().columns]
     group = np.zeros(table.num_rows, np.int64)
     for i in range(n_group):
-        c = table.column(i)
-        c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
-        code = np.asarray(pc.fill_null(pc.dictionary_encode(c, null_encoding="encode").indices, 0)).astype(np.int64)
-        group = np.unique(group * (int(code.max()) + 1) + code, return_inverse=True)[1]
-    words = [
-        ordered_word(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c, ascending[i])
-        for i, c in enumerate(table.column(n_group + j) for j in range(n_words))
-    ]
-    if last:
-        first = _first_of_each(np.arange(table.num_rows), group, words)
-        table, group, words = table.take(first), group[first], [w[first] for w in words]
-    return table.take(bisect_top(group, words, n))
+        code = _codes(columns[i])
+        group = _codes(pa.array(group * (int(code.max()) + 1) + code)) if i else code
+    words = [ordered_word(columns[n_group + j], ascending[j]) for j in range(n_words)]
+    return table.take(bisect_top(group, words, n, distinct=last))
 
 
 def top_n(
@@ -168,15 +188,16 @@ def top_n(
     Rows with a null in a group column or in the score are left out; nulls in a
     tie column come last. NaN scores count as the highest. Groups with fewer
     than ``n`` rows are returned whole; ``n`` of zero or an empty input gives an
-    empty result. Score and ties are numbers, booleans, dates or timestamps.
+    empty result. Score and ties are numbers, booleans, dates, timestamps or
+    strings.
 
     One shuffle, by group, of rows already cut down in blocks of ``block_rows``.
     """
     order = [score, *(c for c, _ in ties)]
     ascending = [False, *(a for _, a in ties)]
     for c in order:
-        if not isinstance(df.schema[c].dataType, _INTS + _FLOATS):
-            raise TypeError(f"{c} must be a number, boolean, date or timestamp")
+        if not isinstance(df.schema[c].dataType, (*_INTS, *_FLOATS, T.StringType)):
+            raise TypeError(f"{c} must be a number, boolean, date, timestamp or string")
     names = [*(f"g{i}" for i in range(len(group))), *(f"w{i}" for i in range(len(order))), *(f"k{i}" for i in range(len(keep)))]
     rows = df.select(*(F.col(c).alias(a) for c, a in zip([*group, *order, *keep], names, strict=True)))
     for c in (*names[: len(group)], "w0"):

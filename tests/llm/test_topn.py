@@ -60,8 +60,31 @@ def test_two_group_columns_floats_and_kept_columns(spark):
     df = spark.createDataFrame(rows, "g string, h int, s double, k string")
     got = sorted(r["k"] for r in top_n(df, ["g", "h"], "s", 2, keep=["k"]).collect())
     assert got == ["v", "w", "x", "y"]
+    by_name = top_n(df, ["h"], "s", 9, ties=[("k", False)]).select("h", "k").collect()
+    assert len(by_name) == 6
     with pytest.raises(TypeError):
-        top_n(df, ["g"], "k", 1)
+        top_n(spark.createDataFrame([(1, [1])], "g int, s array<int>"), ["g"], "s", 1)
+
+
+@pytest.mark.parametrize("block", [5, 500_000])
+def test_strings_break_ties(spark, block):
+    rng = random.Random(2)
+    names = ["", "a", "ab", "b", "é", "z", "Z", "a\0", None]
+    rows = [(rng.randint(1, 3), rng.randint(0, 2), rng.choice(names)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "g int, s int, k string")
+    for ascending in (True, False):
+        got = top_n(df, ["g"], "s", 6, ties=[("k", ascending)], block_rows=block).collect()
+        for g in (1, 2, 3):
+            order = lambda r: (-r[0], r[1] is None, [b if ascending else -b for b in (r[1] or "").encode()] + ([] if ascending else [1]))
+            wanted = sorted({r[1:] for r in rows if r[0] == g}, key=order)[:6]
+            assert sorted(((r["s"], r["k"]) for r in got if r["g"] == g), key=order) == wanted
+
+
+def test_repetitions_do_not_crowd_out_others():
+    group = np.zeros(10_000, np.int64)
+    word = np.repeat(np.arange(10, dtype=np.uint64), 1000)
+    assert [int(word[i]) for i in bisect_top(group, [word], 4)] == [6, 7, 8, 9]
+    assert len(bisect_top(group, [word], 40)) == 10
 
 
 def test_empty(spark):
