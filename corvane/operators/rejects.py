@@ -1,9 +1,10 @@
 """Rows that fail to parse: CSV lines sorted into valid rows and labelled rejects.
 
 Lines are handled in Arrow batches. Quoting is judged for a whole batch by one
-linear-time regular expression, the CSV reader's invalid-row callback reports
-wrong column counts, every field is read as a string, and the columns are then
-cast as vectors, which labels the failing cells.
+linear-time regular expression, the CSV reader's invalid-row callback labels
+the rows with wrong column counts, every field is read as a string, and the
+columns are then cast as vectors, which labels the failing cells. Python sees
+single rows only where the reader rejects them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import csv
@@ -60,62 +62,78 @@ def _good_text(a: pa.Array, max_bytes: int) -> pa.Array:
     return pc.and_(sized, pc.invert(pc.match_substring_regex(a, _BAD_CHARS)))
 
 
-def _read(lines: pa.Array, width: int) -> tuple[list[int], list[pa.Array]]:
+# What a line is, by number; the names of the failures.
+_VALID, _QUOTING, _COLUMNS, _VALUE, _DESTINATION = range(5)
+_REASONS = pa.array([None, "quoting", "columns", "value", "destination"], pa.string())
+
+
+def _read(lines: pa.Array, width: int) -> tuple[np.ndarray, list[pa.Array]]:
     """Row numbers and string columns of the lines that have ``width`` fields."""
     # A line break inside a line is content. Both kinds become another control
     # character, which fails a cell just as they do.
     clean = pc.replace_substring_regex(lines, r"[\r\n]", "\x01")
     clean = pc.replace_substring_regex(clean, _SLOPPY, r"\1\2")
-    bad: list[int] = []
-
-    def reject(row: csv.InvalidRow) -> str:
-        bad.append(row.actual_columns)
-        return "skip"
-
-    kept: list[int] = []
+    names = [f"c{i}" for i in range(width)]
+    kept: list[np.ndarray] = []
     parts: list[pa.Table] = []
-    names = ["#", *(f"c{i}" for i in range(width))]
     for lo, hi in spans(pc.binary_length(clean).to_pylist(), _CHUNK):
-        body = "\n".join(f"{lo + i},{x}" for i, x in enumerate(clean.slice(lo, hi - lo).to_pylist())).encode()
+        rejected: list[int] = []
+
+        def reject(row: csv.InvalidRow, rejected: list[int] = rejected) -> str:
+            rejected.append(row.number - 1)
+            return "skip"
+
+        piece = clean.slice(lo, hi - lo)
+        body = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(piece)], pa.int32()), piece), "\n")[0].as_buffer()
         table = csv.read_csv(
             pa.BufferReader(body),
             read_options=csv.ReadOptions(column_names=names, block_size=len(body) + 1, use_threads=False),
-            parse_options=csv.ParseOptions(newlines_in_values=False, invalid_row_handler=reject),
+            parse_options=csv.ParseOptions(newlines_in_values=False, ignore_empty_lines=False, invalid_row_handler=reject),
             convert_options=csv.ConvertOptions(
                 column_types={n: pa.string() for n in names},
                 strings_can_be_null=False,
                 quoted_strings_can_be_null=False,
             ),
         )
-        kept += map(int, table.column("#").to_pylist())
+        fine = np.ones(hi - lo, bool)
+        fine[rejected] = False
+        kept.append(np.flatnonzero(fine) + lo)
         parts.append(table)
     if not parts:
-        return [], [pa.array([], pa.string())] * width
-    whole = pa.concat_tables(parts)
-    return kept, [whole.column(i + 1).combine_chunks() for i in range(width)]
-
-
-def _judge(text: pa.Array, fields: Sequence[Field]) -> tuple[list[str | None], list[str | None], list[list[str] | None]]:
-    """Reason, failing cells and field values of each line (which is no header and not blank)."""
-    n = len(text)
-    reason: list[str | None] = ["quoting"] * n
-    cells: list[str | None] = [None] * n
-    values: list[list[str] | None] = [None] * n
-    sound = pc.indices_nonzero(pc.match_substring_regex(text, _SOUND))
-    rows = sound.to_pylist()
-    for r in rows:
-        reason[r] = "columns"
-    kept, columns = _read(pc.take(text, sound), len(fields))
-    good = [_good_int(c) if f.is_int else _good_text(c, f.max_bytes) for f, c in zip(fields, columns, strict=True)]
-    flags = list(zip(*(g.to_pylist() for g in good), strict=True))
-    texts = list(zip(*(c.to_pylist() for c in columns), strict=True))
-    for k, ok, v in zip(kept, flags, texts, strict=True):
-        r = rows[k]
-        if all(ok):
-            reason[r], values[r] = None, list(v)
-        else:
-            reason[r], cells[r] = "value", ",".join(f.name for f, x in zip(fields, ok, strict=True) if not x)
-    return reason, cells, values
+        return np.zeros(0, np.int64), [pa.array([], pa.string())] * width
+    table = pa.concat_tables(parts).combine_chunks()
+    return np.concatenate(kept), [_one(table.column(i)) for i in range(width)]
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+@dataclass
+class _Judged:
+    """Of some lines: reason and failing cells (as bits) of each, which are valid, and the valid ones' fields one after the other."""
+
+    reason: np.ndarray
+    cells: np.ndarray
+    valid: np.ndarray
+    fields: pa.Array
+
+
+def _judge(text: pa.Array, fields: Sequence[Field]) -> _Judged:
+    """What is wrong with each line (which is no header and not blank)."""
+    reason = np.full(len(text), _QUOTING)
+    cells = np.zeros(len(text), np.int64)
+    sound = np.flatnonzero(np.asarray(pc.match_substring_regex(text, _SOUND)))
+    reason[sound] = _COLUMNS
+    kept, columns = _read(pc.take(text, pa.array(sound)), len(fields))
+    rows = sound[kept]
+    for i, (f, c) in enumerate(zip(fields, columns, strict=True)):
+        good = np.asarray(_good_int(c) if f.is_int else _good_text(c, f.max_bytes))
+        cells[rows[~good]] |= 1 << i
+    reason[rows] = np.where(cells[rows] == 0, _VALID, _VALUE)
+    ok = np.flatnonzero(cells[rows] == 0)
+    place = np.arange(len(fields)) * len(rows) + ok[:, None]
+    return _Judged(reason, cells, rows[ok], pc.take(pa.concat_arrays(columns), pa.array(place.ravel())))
 
 
 def sort_lines(
@@ -157,19 +175,34 @@ def sort_lines(
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(n_keep + 2).cast(pa.string())
-            dests = batch.column(n_keep).to_pylist()
-            reason: list[str | None] = ["destination"] * len(raw)
-            cells: list[str | None] = [None] * len(raw)
-            values: list[list[str] | None] = [None] * len(raw)
+            dests = batch.column(n_keep)
+            n = len(raw)
+            reason = np.full(n, _DESTINATION)
+            cells = pa.nulls(n, pa.string())
+            width, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            parts, total = [pa.array([], pa.string())], 0
             for name, fields in tables.items():
-                at = [i for i, d in enumerate(dests) if d == name]
-                judged = _judge(pc.take(raw, pa.array(at, pa.int64())), fields)
-                for i, r, c, v in zip(at, *judged, strict=True):
-                    reason[i], cells[i], values[i] = r, c, v
+                at = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(dests, name), False)))
+                judged = _judge(pc.take(raw, pa.array(at)), fields)
+                reason[at] = judged.reason
+                failed, which = np.unique(judged.cells, return_inverse=True)
+                named = [",".join(f.name for i, f in enumerate(fields) if bits >> i & 1) or None for bits in failed.tolist()]
+                mask = np.zeros(n, bool)
+                mask[at] = True
+                cells = pc.replace_with_mask(cells, pa.array(mask), pc.take(pa.array(named, pa.string()), pa.array(which)))
+                width[at[judged.valid]] = len(fields)
+                start[at[judged.valid]] = total + len(fields) * np.arange(len(judged.valid))
+                parts.append(judged.fields)
+                total += len(judged.fields)
+            ends = np.cumsum(width)
+            place = np.repeat(start, width) + np.arange(ends[-1] if n else 0) - np.repeat(ends - width, width)
+            values = pa.ListArray.from_arrays(
+                pa.array(np.append(0, ends), pa.int32()),
+                pc.take(pa.concat_arrays(parts), pa.array(place)),
+                mask=pa.array(reason != _VALID),
+            )
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: n_keep + 2], raw]
-                + [pa.array(reason, pa.string()), pa.array(cells, pa.string()), pa.array(values, pa.list_(pa.string()))],
-                names=out.names,
+                [*batch.columns[: n_keep + 2], raw, pc.take(_REASONS, pa.array(reason)), cells, values], names=out.names
             )
 
     picked = lines.select(
