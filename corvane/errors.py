@@ -19,3 +19,7 @@ class ConstraintError(CorvaneError):
 
 class PlanError(CorvaneError):
     """A query has no plan the engine is willing to run (cross products)."""
+
+
+class ConflictError(CorvaneError):
+    """Another session changed the table while a statement was running."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,9 @@ def insert(catalog: Catalog, table: Table, rows: Sequence[tuple]) -> list[str |
     table only the keys asked for are looked up.
     """
     key = F.col(f"`{table.key}`")
-    used = {r[0] for r in table.df.filter(key.isin(list({r[0] for r in rows}))).select(key).distinct().collect()}
+    asked = sorted({r[0] for r in rows}, key=lambda k: k.encode() if isinstance(k, str) else k)
+    there = table.between(asked[0], asked[-1]).df
+    used = {r[0] for r in there.filter(key.isin(asked)).select(key).distinct().collect()}
     errors: list[str | None] = []
     fresh = []
     for row in rows:
@@ -43,8 +46,9 @@ def insert(catalog: Catalog, table: Table, rows: Sequence[tuple]) -> list[str |
             used.add(row[0])
     if fresh:
         schema = T.StructType([T.StructField(c, spark_type(k)) for c, k in table.kinds.items()])
-        new = catalog.write(table, catalog.spark.createDataFrame(fresh, schema).coalesce(1), sort=False)
-        catalog.commit(table, table.files + new)
+        new = catalog.write(table, catalog.spark.createDataFrame(fresh, schema).coalesce(1).sortWithinPartitions(key), sort=False)
+        catalog.commit(table, table.files | new)
+        catalog.compact(table.name)
     return errors
 
 
@@ -65,8 +69,8 @@ def add_rows(catalog: Catalog, table: Table, rows: DataFrame) -> int:
     order = F.col("__at") if "__at" in rows.columns else F.struct(*names)
     first = rows.groupBy(names[0]).agg(F.min_by(F.struct(*names), order).alias("r")).select("r.*")
     new = catalog.write(table, first.join(table.df.select(names[0]), table.key, "left_anti"))
-    catalog.commit(table, table.files + new)
-    return catalog.read(table.kinds, new).count()
+    catalog.commit(table, table.files | new)
+    return catalog.read(table.kinds, list(new)).count()
 
 
 def _matching(table: Table, where: Expr):
@@ -80,6 +84,7 @@ def _rewrite(catalog: Catalog, table: Table, where: Expr, change) -> int:
     One pass finds the files (a list no longer than the table's) and counts.
     Files without a match are kept as they are.
     """
+    whole, table = table, compiler.narrowed(table, where)
     cond = _matching(table, where)
     rows = compiler.qualified(table).filter(cond)
     located = table.df.select(
@@ -88,14 +93,13 @@ def _rewrite(catalog: Catalog, table: Table, where: Expr, change) -> int:
     counts = {r["__file"]: r["count"] for r in located.filter(cond).groupBy("__file").count().collect()}
     if not counts:
         return 0
-    plain = lambda f: f.replace("file:///", "file:/")
-    touched = {plain(f) for f in counts}
-    old = [f for f in table.files if plain(f) in touched]
-    kept = [f for f in table.files if plain(f) not in touched]
-    part = Table(table.name, table.kinds, catalog.read(table.kinds, old), table.indexed, True, old)
+    table = whole
+    old = [f for f in table.files if f in counts]
+    kept = {f: keys for f, keys in table.files.items() if f not in counts}
+    part = replace(table, df=table.opened(old))
     after = change(compiler.qualified(part), cond).toDF(*table.kinds)
     new = catalog.write(table, after)
-    catalog.commit(table, kept + new)
+    catalog.commit(table, kept | new)
     return sum(counts.values())
 
 
@@ -138,8 +142,13 @@ def update(catalog: Catalog, table: Table, assignments: Sequence[Assignment], wh
 
 
 def _check_keys(table: Table, where: Expr, value) -> None:
+    """Fails if two rows would have one key. Only the new keys are counted, and looked up among those that stay."""
     key = compiler.column(table.name, table.key)
-    after = compiler.qualified(table).select(F.when(_matching(table, where), value).otherwise(key).alias("k"))
-    twice = after.groupBy("k").count().filter("count > 1").head(1)
+    matching = F.coalesce(_matching(table, where), F.lit(False))
+    rows = compiler.qualified(table)
+    changed = rows.filter(matching).select(value.alias("k"))
+    same = changed.groupBy("k").count().filter("count > 1")
+    taken = changed.join(rows.filter(~matching).select(key.alias("k")), "k", "left_semi").withColumn("count", F.lit(1).cast("long"))
+    twice = same.unionByName(taken).head(1)
     if twice:
         raise ConstraintError(taken_message(twice[0]["k"]))

@@ -85,6 +85,29 @@ def _conjuncts(expr: Expr | None) -> list[Expr]:
     return [expr]
 
 
+_MIRRORED = {"==": "==", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
+
+
+def narrowed(table: Table, where: Expr | None) -> Table:
+    """A stored table without files in which no key meets the conditions on it that must all hold."""
+    low = high = None
+    order = lambda x: x.encode() if isinstance(x, str) else x
+    for e in _conjuncts(where) if table.stored else ():
+        if not isinstance(e, Compare) or e.op not in _MIRRORED:
+            continue
+        name, literal, op = e.left, e.right, e.op
+        if isinstance(name, Literal):
+            name, literal, op = literal, name, _MIRRORED[op]
+        if isinstance(literal, Name) or name.column != table.key or name.table not in (None, table.name):
+            continue
+        value = literal_value(literal.text, table.kinds[table.key], name.column)
+        if op in ("==", ">", ">=") and (low is None or order(value) > order(low)):
+            low = value
+        if op in ("==", "<", "<=") and (high is None or order(value) < order(high)):
+            high = value
+    return table if low is None and high is None else table.between(low, high)
+
+
 def qualified(table: Table) -> DataFrame:
     """The table's rows, each column named ``table.column``."""
     return table.df.select(*(F.col(f"`{c}`").alias(f"{table.name}.{c}") for c in table.kinds))
@@ -105,6 +128,9 @@ def select(tables: Sequence[Table], where: Expr | None) -> DataFrame:
     open_ = [(e, tables_of(e, scope), condition(e, scope)) for e in _conjuncts(where)]
     frames = {}
     for t in tables:
+        mine = [e for e, used, _ in open_ if used == {t.name}]
+        for e in mine:
+            t = narrowed(t, e)
         frame = qualified(t)
         for _, used, cond in open_:
             if used == {t.name}:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corvane.session import Session, row_count
 from corvane.sources.files import Files
-from corvane.storage import shared_dir
+from corvane.storage import home_dir
 from corvane.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +22,7 @@ SQL: dict[str, str] = {}
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/corvane/warehouse-{uuid.uuid4().hex}"
+    return f"{home_dir(spark)}/warehouse-{uuid.uuid4().hex}"
 
 
 def session_over(spark: SparkSession, sf_dir: str, *tables: str) -> Session:
@@ -113,6 +113,16 @@ _join(
     "join_cross_table_or", "customer orders", f'{_CO} and (customer.c_nationkey == 1 or orders.o_orderstatus == "P")',
     "c_custkey o_orderkey",
 )
+_join(
+    "join_composite_key", "customer supplier",
+    "customer.c_nationkey == supplier.s_nationkey and customer.c_custkey == supplier.s_suppkey",
+    "c_custkey s_suppkey c_nationkey s_nationkey",
+)
+_join(
+    "join_composite_mixed", "lineitem part",
+    "lineitem.l_partkey == part.p_partkey and lineitem.l_suppkey != part.p_size and part.p_size >= 49",
+    "l_orderkey l_linenumber p_partkey p_size",
+)
 _join("join_theta", "nation region", "nation.n_regionkey < region.r_regionkey", "n_nationkey r_regionkey")
 
 
@@ -206,6 +216,102 @@ def load_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.table("nations")
 
 
+# Lookups in stored tables, which are sorted by key.
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> Session:
+    session = Session(spark, _folder(spark))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("int"), F.col("o_custkey").cast("int"), "o_orderpriority")
+    session.create_from("orders", [("o_orderkey", "int"), ("o_custkey", "int"), ("o_orderpriority", "char16")], rows)
+    return session
+
+
+_STORED_ORDERS = "cast(o_orderkey as int) as o_orderkey, cast(o_custkey as int) as o_custkey, o_orderpriority"
+
+
+def _stored(name: str, where: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _orders(spark, sf_dir).sql(f"select * from orders where {where};", qualified=False)
+
+    QUERIES[name], SQL[name] = run, f"select {_STORED_ORDERS} from orders where {where.replace('==', '=')}"
+
+
+_stored("stored_point", "o_orderkey == 42")
+_stored("stored_range", "o_orderkey > 100 and 200 >= o_orderkey")
+
+
+@_query(f"select {_STORED_ORDERS} from orders where o_custkey = 7")
+def stored_secondary_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = _orders(spark, sf_dir)
+    session.sql("create index on orders (o_custkey);")
+    return session.sql("select * from orders where o_custkey == 7;", qualified=False)
+
+
+@_query(
+    f"""select cast(c_custkey as int) as id, c_acctbal > 5000 as rich, c_name || repeat('x', {255 - 18}) as note from customer
+    where c_acctbal > 5000"""
+)
+def stored_bool_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of up to 255 bytes; one more is refused."""
+    from corvane.errors import AnalysisError
+
+    session = Session(spark, _folder(spark))
+    note = F.concat("c_name", F.lit("x" * (255 - 18)))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int"), F.col("c_acctbal") > 5000, note)
+    session.create_from("flags", [("id", "int"), ("rich", "bool"), ("note", "text")], rows)
+    try:
+        session.sql(f'insert into flags (-1, true, "{"x" * 256}");')
+    except AnalysisError:
+        return session.sql("select * from flags where rich == true;", qualified=False)
+    raise AssertionError("a text of 256 bytes was taken")
+
+
+@_query(
+    """select * from (values (0, 'users.uid'), (1, 'users.name'), (2, 'orders.oid'), (3, 'orders.uid'), (4, 'orders.total'))
+    v(place, name)"""
+)
+def star_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of `*` stand in the order of the tables, whichever side of the comparison they are on."""
+    session = Session(spark, _folder(spark))
+    session.sql("create table users (uid=int, name=char8);")
+    session.sql("create table orders (oid=int, uid=int, total=int);")
+    found = session.sql("select * from users, orders where orders.uid == users.uid;")
+    return spark.createDataFrame(list(enumerate(found.columns)), "place int, name string")
+
+
+_REFUSED = {
+    "select * from customer, orders;": "PlanError",
+    "select * from customer, orders where customer.c_custkey == 1 and orders.o_custkey == 1;": "PlanError",
+    "select * from customer, orders, nation where customer.c_custkey == orders.o_custkey;": "PlanError",
+    "select * from nosuch;": "AnalysisError",
+    "select * from customer, orders where customer.nosuch == orders.o_custkey;": "AnalysisError",
+    "select * from customer, orders where customer.c_name == orders.o_custkey;": "AnalysisError",
+    "select * from customer where orders.o_custkey == 1;": "AnalysisError",
+    'select * from customer where c_nationkey == "abc";': "AnalysisError",
+    "select * from customer where c_nationkey;": "ParseError",
+    "select from customer;": "ParseError",
+}
+
+
+@_query(
+    "select * from (values "
+    + ", ".join(f"({i}, '{error}')" for i, error in enumerate(_REFUSED.values()))
+    + ') v(statement, "error")'
+)
+def refused_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross products, unknown names and types that do not fit are refused before anything runs."""
+    from corvane.errors import CorvaneError
+
+    session = session_over(spark, sf_dir, "customer", "orders", "nation")
+    found = []
+    for i, text in enumerate(_REFUSED):
+        try:
+            session.sql(text)
+        except CorvaneError as e:
+            found.append((i, type(e).__name__))
+    return spark.createDataFrame(found, "statement int, error string")
+
+
 def _changed(name: str, statement: str, columns: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         session = _customers(spark, sf_dir)

@@ -12,6 +12,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,16 +59,55 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dirs[app]
 
 
+def home_dir(spark: SparkSession) -> str:
+    """The application's folder in `shared_dir`, deleted when its driver ends."""
+    home = f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}"
+    _clear_at_exit(spark, home)
+    return home
+
+
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scopes: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("corvane_scopes", default=())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and read it back.
 
     Unlike ``checkpoint()`` the copy is columnar and compressed, so it costs a
-    fraction of the disk, and later readers prune its columns. The tables of an
-    application are deleted when its driver ends.
+    fraction of the disk, and later readers prune its columns. The table is
+    deleted by `free`, at the end of a `scratch` block, or when the driver ends.
     """
     spark = df.sparkSession
-    home = f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}"
-    _clear_at_exit(spark, home)
-    path = f"{home}/{label}-{uuid.uuid4().hex}"
+    path = f"{home_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    for scope in _scopes.get()[-1:]:
+        scope.append((spark, path))
+    return table
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables made by `materialise`, once all that was made of them is written itself."""
+    for table in tables:
+        path = _written.pop(table, None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """A block at whose end the tables written inside it are deleted; results are to be written or collected before."""
+    mine: list[tuple[SparkSession, str]] = []
+    token = _scopes.set((*_scopes.get(), mine))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for spark, path in mine:
+            _delete(spark, path)

@@ -1,7 +1,9 @@
 from collections import namedtuple
 
 import pytest
-from corvane.errors import AnalysisError, ConstraintError, ParseError, PlanError
+from corvane import storage
+from corvane.errors import AnalysisError, ConflictError, ConstraintError, ParseError, PlanError
+from corvane.operators import dml
 from corvane.render import render
 from corvane.session import Session
 from hypothesis import HealthCheck, given, settings
@@ -197,6 +199,94 @@ def test_plans_push_filters_and_columns(shop, spark):
     assert "PushedFilters: [IsNotNull(k), EqualTo(k,5)]" in plan and "ReadSchema: struct<k:bigint>" in plan
 
 
+def bloom_columns(spark, files):
+    """Columns with a Bloom filter in every one of the files."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = []
+    for f in files:
+        source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(f), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        chunks = [c for b in reader.getFooter().getBlocks() for c in b.getColumns()]
+        found.append({c.getPath().toDotString() for c in chunks if c.getBloomFilterOffset() > 0})
+        reader.close()
+    return set.intersection(*found)
+
+
+def numbers(spark, tmp_path, parts=6):
+    """A stored table of 6,000 keys in several files."""
+    session = Session(spark, f"file://{tmp_path}/numbers")
+    rows = spark.range(6000).selectExpr("cast(id as int) k", "concat('name', id) n", "cast(id % 10 as int) m")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        session.create_from("numbers", [("k", "int"), ("n", "char16"), ("m", "int")], rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    return session
+
+
+def test_key_lookups_open_only_files_that_can_hold_the_key(spark, tmp_path):
+    session = numbers(spark, tmp_path)
+    assert len(session.catalog.table("numbers").files) >= 4
+    opened = lambda where: len(session.sql(f"select * from numbers where {where};").inputFiles())
+    assert opened("k == 17") == 1 and opened("5999 == k") == 1 and opened("k == 6000") == 0
+    assert opened("k > 10 and k < 20") == 1 and opened("k >= 0") == len(session.catalog.table("numbers").files)
+    assert opened("k == 17 or m == 1") == len(session.catalog.table("numbers").files)
+    assert keys(session.sql("select * from numbers where k >= 1995 and 2005 > k and m == 0;"), "numbers.k") == [2000]
+    plan = session.sql("select * from numbers where k == 17;")._jdf.queryExecution().toString()
+    assert "EqualTo(k,17)" in plan.split("PushedFilters")[1]
+    assert session.sql("update numbers set m = 77 where k == 17;").count == 1
+    assert keys(session.sql("select * from numbers where m == 77;"), "numbers.k") == [17]
+    assert session.sql("delete from numbers where k > 100 and k <= 5000;").count == 4900
+    assert session.table("numbers").count() == 1100
+
+
+def test_an_index_takes_in_the_rows_there_are(spark, tmp_path):
+    session = numbers(spark, tmp_path)
+    before = set(session.catalog.table("numbers").files)
+    assert bloom_columns(spark, before) == set()
+    session.sql("create index on numbers (n);")
+    after = set(session.catalog.table("numbers").files)
+    assert bloom_columns(spark, after) == {"n"} and not before & after
+    session.sql('insert into numbers (-1, "x", 3);')
+    assert keys(session.sql('select * from numbers where n == "name42";'), "numbers.k") == [42] and session.table("numbers").count() == 6001
+
+
+def test_small_files_are_put_together(own):
+    for i in range(40):
+        own.sql(f'insert into users ({100 + i}, "N{i}", "CA", {i});')
+    assert len(own.catalog.table("users").files) <= 17
+    assert own.table("users").count() == 45 and own.sql("select * from users where uid == 117;").count() == 1
+
+
+def test_a_change_by_another_session_is_not_lost(spark, own, tmp_path):
+    other = Session(spark, f"file://{tmp_path}/wh")
+    stale = other.catalog.table("users")
+    own.sql('insert into users (6, "Fay", "CA", 30);')
+    with pytest.raises(ConflictError):
+        dml.insert(other.catalog, stale, [(7, "Gus", "CA", 1)])
+    assert keys(other.table("users"), "uid") == [1, 2, 3, 4, 5, 6]
+    other.sql('insert into users (7, "Gus", "CA", 1);')
+    assert keys(own.table("users"), "uid") == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_written_tables_are_freed(spark):
+    def there(table):
+        path = spark._jvm.org.apache.hadoop.fs.Path(storage._written[table])
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    a = storage.materialise(spark.range(5), "a")
+    assert there(a) and a.count() == 5
+    path = spark._jvm.org.apache.hadoop.fs.Path(storage._written[a])
+    storage.free(a)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    with storage.scratch():
+        b = storage.materialise(spark.range(3), "b")
+        assert there(b)
+    assert not there(b)
+
+
 Row = namedtuple("Row", "uid state age")
 ROWS = [Row(i, "CA" if i % 3 else "NY", (i * 37) % 50) for i in range(1, 40)]
 
